@@ -67,8 +67,9 @@ def _following(placed: DataFrame) -> DataFrame:
     chain = W.orderBy(F.desc("bucket"))
     chained = buckets.select("bucket", "rows", F.lead("bucket").over(chain).alias("below"), F.max("bucket").over(W.partitionBy()).alias("top"))
     links = chained.select(F.col("bucket").alias("of"), "rows", F.coalesce("below", "top").alias("bucket"))
-    tails = links.join(heads, "bucket").select(F.col("of").alias("bucket"), F.col("rows").cast("int").alias("place"), "head")
-    return inside.join(tails, ["bucket", "place"], "left").withColumn("next", F.coalesce("ahead", "head")).drop("ahead", "head", "place")
+    tails = links.join(heads, "bucket").select(F.col("of").alias("bucket"), F.col("rows").cast("int").alias("last"), "head")
+    # Joined by bucket alone, by which the texts are already placed: they are not shuffled again.
+    return inside.join(tails, "bucket", "left").withColumn("next", F.coalesce("ahead", F.when(F.col("place") == F.col("last"), F.col("head")))).drop("ahead", "head", "place", "last")
 
 
 def collisions(placed: DataFrame) -> DataFrame:
@@ -79,8 +80,9 @@ def collisions(placed: DataFrame) -> DataFrame:
     """
     plain = placed.select("bucket", "doc_id", "d")
     twice = plain.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
-    rows = plain.join(twice, "d", "left_semi").select("bucket", "doc_id", "d").distinct()
-    same = placed.join(rows, ["bucket", "doc_id", "d"], "left_semi").select("d", canonical(F.col("text")).alias("form"))
+    # A bucket has a bounded number of rows, so its digests do too; joined by bucket, by which the texts are already placed.
+    rows = plain.join(twice, "d", "left_semi").groupBy("bucket").agg(F.collect_set("d").alias("twice"))
+    same = placed.join(rows, "bucket").where("array_contains(twice, d)").select("d", canonical(F.col("text")).alias("form"))
     distinct = same.groupBy("d", "form").agg(F.count(F.lit(1)).alias("n"))
     witness = distinct.select("d", F.sha2("form", 256).alias("witness"))
     several = witness.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
