@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic.llm import common
@@ -176,10 +176,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return once.select("text", (F.col("rate") >= 0.5).alias("toxic"))
 
 
-def _log_odds(a: np.ndarray, b: np.ndarray, rate: np.ndarray, base: float) -> np.ndarray:
-    """Log-odds over the base rate with ``STRENGTH`` prior texts of ``rate``, less ``CAUTION`` standard deviations."""
-    x, y = a + STRENGTH * rate, b + STRENGTH * (1 - rate)
-    return np.log(x / y) - np.log(base / (1 - base)) - CAUTION * np.sqrt(1 / x + 1 / y)
+def _log_odds(rate: Column, base: float) -> Column:
+    """Log-odds of toxic over the base rate with ``STRENGTH`` prior texts of ``rate``, less ``CAUTION`` standard deviations."""
+    x, y = F.col("toxic") + STRENGTH * rate, F.col("clean") + STRENGTH * (1 - rate)
+    return F.log(x / y) - float(np.log(base / (1 - base))) - CAUTION * F.sqrt(1 / x + 1 / y)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_TRAINING_ROWS) -> Model:
@@ -192,54 +192,51 @@ def learn(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_TRAINING_ROWS)
     if whole is None or not whole.toxic or not whole.clean:
         return model
     base = whole.toxic / (whole.toxic + whole.clean)
-    # Only words and beginnings that are toxic oftener than all texts are can score.
-    often = counted.where(f"kind < 2 AND toxic > {base!r}D * (toxic + clean)")
-    beginnings = often.where("kind = 1").orderBy(F.desc("toxic"), "token").limit(MAX_ENTRIES).toPandas()
-    first = F.substring("token", 1, BEGINNING)
-    a, b = beginnings["toxic"].to_numpy(float), beginnings["clean"].to_numpy(float)
-    scores = _log_odds(a, b, np.full(len(a), base), base)
-    model.beginnings = {t: float(s) for t, s in zip(beginnings["token"], scores) if s > 0}
-    rate = dict(zip(beginnings["token"], (a + STRENGTH * base) / (a + b + STRENGTH)))
-    toxic_first = list(model.beginnings)
-    wanted = counted.where("kind = 0").where((F.col("toxic") > base * (F.col("toxic") + F.col("clean"))) | first.isin(toxic_first[:5000]) & (F.col("toxic") + F.col("clean") >= SEEN))
-    words = wanted.where("toxic + clean >= 2").orderBy(F.desc("toxic"), "token").limit(MAX_ENTRIES).toPandas()
-    prior = np.array([rate.get(t[:BEGINNING], base) if len(t) > BEGINNING else base for t in words["token"]], dtype=float)
-    scores = _log_odds(words["toxic"].to_numpy(float), words["clean"].to_numpy(float), prior, base)
-    seen = (words["toxic"] + words["clean"]).to_numpy() >= SEEN
-    model.words = {t: max(0.0, float(s)) for t, s, k in zip(words["token"], scores, seen) if t and (s > 0 or k and t[:BEGINNING] in model.beginnings)}
+    of_all = F.lit(base)
+    firsts = counted.where("kind = 1").select("token", ((F.col("toxic") + STRENGTH * base) / (F.col("toxic") + F.col("clean") + STRENGTH)).alias("rate"), _log_odds(of_all, base).alias("first_score"))
+    firsts = firsts.withColumnRenamed("token", "first")
+    model.beginnings = {r[0]: r[1] for r in firsts.where("first_score > 0").orderBy(F.desc("first_score"), "first").limit(MAX_ENTRIES).select("first", "first_score").collect()}
+    first = F.when(F.length("token") > BEGINNING, F.substring("token", 1, BEGINNING))
+    words = counted.where("kind = 0 AND toxic + clean >= 2 AND token <> ''").select("token", "toxic", "clean", first.alias("first")).join(firsts, "first", "left")
+    words = words.select("token", _log_odds(F.coalesce("rate", of_all), base).alias("score"), (F.col("toxic") + F.col("clean") >= SEEN).alias("seen"), F.coalesce(F.col("first_score") > 0, F.lit(False)).alias("marked"))
+    kept = words.where("score > 0 OR seen AND marked").orderBy(F.desc("score"), "token").limit(MAX_ENTRIES)
+    model.words = {r[0]: max(0.0, r[1]) for r in kept.select("token", "score").collect()}
     _calibrate(model, rows)
     return model
 
 
-def _sample_scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Of each training text: its label, length, word scores and best passage."""
+def _hits(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Scores of words in clean texts, to thousandths, and how often each occurs."""
+    found: Counter = Counter()
     for part in common.slices(batches):
         w = common.words_of(part.column("text"))
-        weight = _weights(w.distinct.to_pylist(), model)
-        per_word = weight[w.code] if len(w.code) else np.zeros(0)
-        n = np.diff(w.first)
-        hits = [per_word[a:b][per_word[a:b] > 0].tolist() for a, b in zip(w.first[:-1], w.first[1:])]
-        at = [np.flatnonzero(per_word[a:b] > 0).tolist() for a, b in zip(w.first[:-1], w.first[1:])]
-        yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(n), pa.array(hits, pa.list_(pa.float64())), pa.array(at, pa.list_(pa.int64()))], names=["toxic", "n", "hits", "at"])
+        weight = np.rint(_weights(w.distinct.to_pylist(), model) * 1000).astype(np.int64)
+        values, counts = np.unique(weight[w.code] if len(w.code) else weight[:0], return_counts=True)
+        found.update(dict(zip(values.tolist(), counts.tolist())))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["score", "n"])
+
+
+def _evidences(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches):
+        x, _, _ = _scored(part, model)
+        yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "best", "all"])
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    got = rows.mapInArrow(lambda it: _sample_scores(it, model), "toxic boolean, n long, hits array<double>, at array<long>").toPandas()  # at most ``limit`` rows
-    y = got["toxic"].to_numpy(dtype=float)
-    clean = got[~got["toxic"].astype(bool)]
-    hits = np.concatenate([np.asarray(x, dtype=float) for x in clean["hits"]] or [np.zeros(0)])
-    n = float(clean["n"].sum()) + 1.0
-    # The decay solves E[exp(decay * score)] = 1 over the words of clean texts, one more hit than was seen among them.
-    values = np.concatenate([hits, [max(model.words.values(), default=1.0)]])
+    counted = rows.where("NOT toxic").select("text").mapInArrow(lambda it: _hits(it, model), "score long, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    # The decay solves E[exp(decay * score)] = 1 over the words of clean texts, and one more hit than was seen among them.
+    top = max(model.words.values(), default=1.0)
+    values = np.array([*(r[0] / 1000 if r[0] > 0 else -model.drift for r in counted), top])
+    weight = np.array([*(float(r[1]) for r in counted), 1.0])
     low, high = 1e-3, 3.0
     for _ in range(60):
         mid = (low + high) / 2
-        mean = (np.exp(mid * values).sum() + (n - len(hits)) * np.exp(-mid * model.drift)) / (n + 1)
+        mean = (weight * np.exp(mid * values)).sum() / weight.sum()
         low, high = (mid, high) if mean < 1 else (low, mid)
     model.decay = max(low, 0.2)
-    found = [segments(list(a), list(h), model.drift) for a, h in zip(got["at"], got["hits"])]
-    x = np.array([evidence(f, int(k), model) for f, k in zip(found, got["n"])]).reshape(-1, 2)
-    model.curve = _logistic(np.log1p(x), y)
+    got = rows.mapInArrow(lambda it: _evidences(it, model), "toxic boolean, best double, all double").collect()  # three numbers a training row
+    x = np.array([[r[1], r[2]] for r in got]).reshape(-1, 2)
+    model.curve = _logistic(np.log1p(x), np.array([float(r[0]) for r in got]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> tuple[float, float, float]:
