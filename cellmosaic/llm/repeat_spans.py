@@ -35,8 +35,9 @@ LENGTH = 200
 SEED = 40
 CROWD = 256
 #: Bytes whose suffixes are ordered at a time.
-BLOCK_BYTES = 1 << 20
-_PIECE = 1 << 22
+BLOCK_BYTES = 1 << 19
+#: Bytes whose windows are hashed at a time, however long the text is.
+_PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -50,7 +51,7 @@ class _Powers:
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > cls.n:
-            cls.n = max(n, 1 << 21)
+            cls.n = max(n, 1 << 20)
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 x = np.full(cls.n, base, dtype=np.uint64)
                 x[0] = 1
@@ -118,7 +119,7 @@ def runs(data: np.ndarray, limits: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _emit_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for part in common.slices(batches):
+    for part in common.slices(batches, limit=_PIECE):
         text, first, count, seed, context = runs(*common.text_bytes(part.column("text")), length)
         yield pa.RecordBatch.from_arrays(
             [part.column("key").take(pa.array(text)), part.column("rank").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(seed), pa.array(context)],
@@ -128,7 +129,7 @@ def _emit_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The contexts of the runs ``wanted`` of each text."""
-    for part in common.slices(batches):
+    for part in common.slices(batches, limit=_PIECE):
         data, limits = common.text_bytes(part.column("text"))
         wanted = part.column("wanted")
         flat = wanted.flatten()
@@ -200,7 +201,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, keep_first: bool) ->
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every window of crowded seeds by its hash."""
-    for batch in batches:
+    for batch in common.slices(batches, "context", _PIECE >> 1):
         data, limits = common.text_bytes(batch.column("context"))
         if not len(data):
             continue
