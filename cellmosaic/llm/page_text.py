@@ -167,6 +167,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     return np.concatenate([place, own, before, after], axis=1)
 
 
+_LONG = "This went on for a good while, and those who had come early were as tired of it as those who came late, so that in the end nobody could say what had been decided and why it had to be that night."
 #: The labelled table: the blocks of these pages, kept if an element around them says data-keep.
 LABELLED = (
     '<body><nav><ul><li><a href=a>Home</a></li><li><a href=b>News of the day</a></li></ul></nav><div class="ad">Buy nine new lamps for the price of eight, only today.</div>'
@@ -186,6 +187,9 @@ LABELLED = (
     '<div data-keep>A second plain division that holds text, again with many words in it and no link to any other page on this site or elsewhere.</div><h3><a href=4>More from us</a></h3><p><a href=5>Ten ways to do it better</a></p><p><a href=6>What they said then and what they say now</a></p><div>All rights reserved.</div></body>',
     '<body><div>Last changed on a Monday</div><h1 data-keep>What is on this page</h1><p data-keep>Here a paragraph begins that says what the page is about, in so many words that nobody could take it for a line of a menu.</p>'
     '<p data-keep>It is followed by one that has <a href=1>one link</a> among its words, as text on pages often does, and that is no reason to leave it out.</p><ul><li><a href=2>Back</a></li><li><a href=3>To the top</a></li></ul><div><a href=4>Imprint</a></div></body>',
+    # Boilerplate may be long: what holds it counts before its length does.
+    "<body>" + "".join(f"<{tag} {names}><p>{_LONG}</p><p>Then, a shorter remark of ten words follows here.</p></{tag}>" for tag, names in (("div", "class=ad"), ("aside", ""), ("footer", ""), ("div", "class=notice"), ("form", ""), ("nav", "")))
+    + f"<article data-keep><h1>{_LONG}</h1><p>Short.</p></article><section class=comments><p>{_LONG}</p><p>{_LONG}</p></section></body>",
     "<body><p data-keep>A bare page of one paragraph that is long enough to be what the page is about and has nothing else around it at all.</p></body>",
 )
 
