@@ -133,12 +133,95 @@ def components(docs: DataFrame, size: int = 5) -> DataFrame:
     return marked.join(labels, "bits").select("doc_id", "bits", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The row with the smallest doc_id of each component; of rows that share that doc_id, one.
+#: Shingles sampled for a fingerprint, and fingerprints a text: of pairs at similarity 0.8, 1 - (1 - 0.8 ** 7) ** 28 or 99.8 % share one.
+SAMPLED, SAMPLES = 7, 28
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, SAMPLED * SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sample_fingerprints(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """A row of ``SAMPLES`` fingerprints a text, each the majority bits of ``SAMPLED`` shingles that are the least under one order each."""
+    n = len(limits) - 1
+    least = np.zeros((n, len(_ODD)), dtype=np.uint64)
+    full = np.flatnonzero(np.diff(limits))
+    if len(full):
+        for i, odd in enumerate(_ODD):
+            least[full, i] = np.minimum.reduceat(hashes * odd, limits[full])
+    least += np.arange(len(_ODD), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        least = (least ^ (least >> np.uint64(shift))) * np.uint64(odd)
+    least ^= least >> np.uint64(31)
+    return majority_bits(least.ravel(), np.arange(0, n * len(_ODD) + 1, SAMPLED)).reshape(n, SAMPLES)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches):
+        hashes, limits = shingle_hashes(part.column("text"), size)
+        marks = sample_fingerprints(hashes, limits).view(np.int64)
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        sets = [np.unique(short[a:b]).view(np.int32) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
+        ends = np.zeros(len(sets) + 1, dtype=np.int32)
+        np.cumsum([len(x) for x in sets], out=ends[1:])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("text_key"), pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, SAMPLES, dtype=np.int32)), pa.array(marks.ravel())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))],
+            names=["doc_id", "text_key", "marks", "shingles"],
+        )
+
+
+def _keyed(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
 
-    Rows are named by a hash of doc_id and text, so that repeated rows are told
-    from each other only where they differ.
+def _alike(a: str, b: str, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= similarity * (F.size(a) + F.size(b) - both)
+
+
+def similar_links(marked: DataFrame, shared: common.Shared, similarity: float) -> DataFrame:
+    """Links (u, v) of text keys whose shingle sets reach ``similarity``, without pairs.
+
+    Texts that share a sample fingerprint are compared with the least of them.
+    Those that are alike are linked and leave; the others are compared with the
+    least of the rest, until none is left.
+    """
+    sets = shared.put(marked.dropDuplicates(["text_key"]).select("text_key", "shingles"))
+    entered = shared.put(marked.select("text_key", F.explode("marks").alias("mark")).distinct())
+    found = []
+    while True:
+        least = shared.put(entered.groupBy("mark").agg(F.min("text_key").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "v"))
+        met = shared.put(entered.join(least, "mark").where("text_key <> v").select("mark", F.col("text_key").alias("u"), "v"))
+        if met.isEmpty():
+            break
+        pairs = met.select("u", "v").distinct()
+        pairs = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u")
+        pairs = pairs.join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
+        good = shared.put(pairs.where(_alike("a", "b", similarity)).select("u", "v"))
+        found.append(good)
+        rest = shared.put(met.join(good, ["u", "v"], "left_anti").select(F.col("u").alias("text_key"), "mark"))
+        shared.drop(entered, least, met)
+        entered = rest
+    links = marked.sparkSession.createDataFrame([], "u long, v long")
+    for f in found:
+        links = links.union(f)
+    return links
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of texts whose sets of ``size``-word shingles are alike: the one with the smallest doc_id, null last.
+
+    Texts at that similarity differ in up to 15 bits of a whole fingerprint,
+    where the grid no longer separates, so candidates are texts that share the
+    fingerprint of a sample, and shingle sets decide.  Equal texts are told by 64
+    bits, shingles by 32.  Texts without words are one group.  Of repeated rows
+    one stays; of rows that share a doc_id but not a group, each.
     """
-    leading = components(docs, size).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(leading, once.doc_id.eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    shared = common.Shared(docs.sparkSession, "near")
+    named = docs.select("doc_id", "text", _keyed(docs).alias("text_key"))
+    marked = shared.put(named.mapInArrow(lambda it: _sampled(it, size), "doc_id long, text_key long, marks array<long>, shingles array<int>"))
+    texts = shared.put(marked.groupBy("text_key").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(similar_links(marked, shared, similarity), shared)
+    grouped = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "text_key")).alias("first"))
+    kept = first.select(F.col("first.least").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
+    rows = docs.withColumn("near_text_key", _keyed(docs))
+    rows = rows.join(kept, rows.doc_id.eqNullSafe(F.col("kept_id")) & (rows.near_text_key == F.col("kept_key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "near_text_key"]).select(*docs.columns)
