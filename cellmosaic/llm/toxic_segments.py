@@ -33,6 +33,7 @@ from cellmosaic.llm import common
 MAX_TRAINING_ROWS = 20_000
 #: Entries of the word table, at most; the table is sent to all tasks.
 MAX_ENTRIES = 50_000
+SEEN_WORDS = 300_000
 BEGINNING = 5
 STRENGTH = 10.0
 #: Standard deviations that a score is lowered by.
@@ -50,6 +51,8 @@ class Model:
     decay: float = 1.0
     constant: float = 0.1
     curve: tuple[float, float, float] = (-50.0, 0.0, 0.0)
+    #: Scores of words that a worker has met; emptied when it grows over ``SEEN_WORDS``.
+    seen: dict[bytes, float] = field(default_factory=dict, repr=False)
 
 
 def plain(word: bytes) -> str:
@@ -59,38 +62,46 @@ def plain(word: bytes) -> str:
 
 def _weights(distinct: list[bytes], model: Model) -> np.ndarray:
     """The score of each distinct word; 0 stands for the drift."""
-    words, beginnings, out = model.words, model.beginnings, np.zeros(len(distinct))
+    words, beginnings, seen, out = model.words, model.beginnings, model.seen, np.zeros(len(distinct))
+    if len(seen) > SEEN_WORDS:
+        seen.clear()
     for i, raw in enumerate(distinct):
+        score = seen.get(raw)
+        if score is not None:
+            out[i] = score
+            continue
         word = plain(raw)
         score = words.get(word)
         if score is None:
             score = beginnings.get(word[:BEGINNING], 0.0) if len(word) > BEGINNING else 0.0
-        out[i] = score
+        out[i] = seen[raw] = score
     return out
 
 
 def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal segments (first, last, score) of a text of ``drift`` below zero but for ``score`` at ``at``.
 
-    The scan keeps disjoint candidates with the sums before and behind them; a new
-    one is joined with those that it improves.  Only positive places are visited.
+    The scan keeps disjoint candidates with the sums before and behind them, and
+    of each the last one whose sum before is lower; a new one is joined with
+    those that it improves.  Only positive places are visited, and the links make
+    the scan linear.
     """
-    out: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum behind
+    out: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum behind, last with a lower sum before
     total, done = 0.0, 0
     for place, value in zip(at, score):
         total -= drift * (place - done)
         before, total, done = total, total + value, place + 1
-        first = place
+        first, k = place, len(out) - 1
         while True:
-            k = len(out) - 1
             while k >= 0 and out[k][2] >= before:
-                k -= 1
+                k = out[k][4]
             if k < 0 or out[k][3] >= total:
                 break
-            first, before = out[k][0], out[k][2]
+            first, _, before, _, link = out[k]
             del out[k:]
-        out.append((first, place, before, total))
-    return [(a, b, high - low) for a, b, low, high in out]
+            k = link
+        out.append((first, place, before, total, k))
+    return [(a, b, high - low) for a, b, low, high, _ in out]
 
 
 def evidence(found: list[tuple[int, int, float]], n: int, model: Model) -> tuple[float, float]:
