@@ -16,12 +16,14 @@ fingerprints.  Repeated rows stay separate rows of one component.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellmosaic.llm import common
@@ -179,16 +181,18 @@ def _alike(a: str, b: str, similarity: float) -> Column:
 def similar_links(marked: DataFrame, shared: common.Shared, similarity: float) -> DataFrame:
     """Links (u, v) of text keys whose shingle sets reach ``similarity``, without pairs.
 
-    Texts that share a sample fingerprint are compared with the least of them.
-    Those that are alike are linked and leave; the others are compared with the
-    least of the rest, until none is left.
+    Texts that share a sample fingerprint are compared with the least of them;
+    those that are alike are linked and leave.  The others are compared with the
+    next ones, 8 and then 64 at a time, until none is left.
     """
     sets = shared.put(marked.dropDuplicates(["text_key"]).select("text_key", "shingles"))
-    entered = shared.put(marked.select("text_key", F.explode("marks").alias("mark")).distinct())
+    entered = shared.put(marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u")).distinct())
+    place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
     found = []
-    while True:
-        least = shared.put(entered.groupBy("mark").agg(F.min("text_key").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "v"))
-        met = shared.put(entered.join(least, "mark").where("text_key <> v").select("mark", F.col("text_key").alias("u"), "v"))
+    for leaders in itertools.chain((1, 8), itertools.repeat(64)):
+        # The rank filter is also applied before the shuffle, so no task gets a whole group.
+        least = shared.put(entered.withColumn("place", place).where(F.col("place") <= leaders).select("mark", F.col("u").alias("v")))
+        met = shared.put(entered.join(least, "mark").where("u > v"))
         if met.isEmpty():
             break
         pairs = met.select("u", "v").distinct()
@@ -196,7 +200,8 @@ def similar_links(marked: DataFrame, shared: common.Shared, similarity: float) -
         pairs = pairs.join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
         good = shared.put(pairs.where(_alike("a", "b", similarity)).select("u", "v"))
         found.append(good)
-        rest = shared.put(met.join(good, ["u", "v"], "left_anti").select(F.col("u").alias("text_key"), "mark"))
+        gone = met.join(good, ["u", "v"], "left_semi").select("mark", "u").union(least.select("mark", F.col("v").alias("u")))
+        rest = shared.put(met.select("mark", "u").distinct().join(gone, ["mark", "u"], "left_anti"))
         shared.drop(entered, least, met)
         entered = rest
     links = marked.sparkSession.createDataFrame([], "u long, v long")

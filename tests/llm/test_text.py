@@ -108,6 +108,46 @@ def test_simhash(docs, empty):
     assert simhash.components(empty, 3).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def _shingles(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+
+def test_keep_one(spark, docs, empty):
+    base = [f"v{i * 37 % 1009}" for i in range(300)]
+    near = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :] + [f"end{j}" for j in range(5 * k)]) for k in range(12)]
+    extra = [(100 + i, t, "en", "a", 1, "clash") for i, t in enumerate(near)] + [(None, near[0], "en", "a", 1, ""), (None, "apart from all of these others", "en", "a", 1, ""), (7, "two of a kind but not alike", "en", "a", 1, "")]
+    frame = docs.union(spark.createDataFrame(extra, docs.schema))
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    sets = [_shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[j] if g == group[i] else g for g in group]
+    best = {}
+    for (doc_id, _), g in zip(rows, group):
+        best[g] = min(best.get(g, (True, 0)), (doc_id is None, doc_id or 0))
+    got = simhash.keep_one(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(best.values())
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_segments():
+    score = [1.0, 0.2, 2.0, 0.1, 0.4, 3.0, 0.3]
+    at = [0, 1, 5, 9, 10, 12, 40]
+    total = [0.0]
+    for i in range(41):
+        total.append(total[-1] + (score[at.index(i)] if i in at else -0.35))
+    best = max(total[j] - total[i] for i in range(42) for j in range(i, 42))
+    found = toxic_segments.segments(at, score, 0.35)
+    assert abs(max(s for _, _, s in found) - best) < 1e-9
+    assert all(abs(total[b + 1] - total[a] - s) < 1e-9 for a, b, s in found)
+    assert all(x[1] < y[0] for x, y in zip(found, found[1:]))
+
+
 def test_digests(docs, empty):
     got = by_id(digests.with_edits(docs))
     order = sorted(range(len(TEXTS)), reverse=True)
