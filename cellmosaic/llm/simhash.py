@@ -190,8 +190,13 @@ def similar_links(marked: DataFrame, shared: common.Shared, similarity: float) -
     place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
     found = []
     for leaders in itertools.chain((1, 8), itertools.repeat(64)):
-        # The rank filter is also applied before the shuffle, so no task gets a whole group.
-        least = shared.put(entered.withColumn("place", place).where(F.col("place") <= leaders).select("mark", F.col("u").alias("v")))
+        if leaders == 1:
+            # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
+            least = entered.groupBy("mark").agg(F.min("u").alias("v"), F.max("u").alias("most")).where("most > v").select("mark", "v")
+        else:
+            # The rank filter is also applied before the shuffle, so no task gets a whole group.
+            least = entered.withColumn("place", place).where(F.col("place") <= leaders).select("mark", F.col("u").alias("v"))
+        least = shared.put(least)
         met = shared.put(entered.join(least, "mark").where("u > v"))
         if met.isEmpty():
             break
