@@ -1,15 +1,26 @@
 """LM scoring by masked pseudo-likelihood.
 
-Words are hashed into ``BUCKETS``; a bucket belongs to one of ``CLASSES``.  A small
-network reads the two words on either side of a masked one and predicts its
-class; the bucket inside the class follows the corpus counts.  Every partition
-of the corpus trains a copy of the network from the same start, on all its
-words; the copies are averaged by their words, and the counts are summed.  Sums
-are whole numbers, so their order does not matter.  The score of a text is the
-sum of the log-probabilities of all its words, each given both sides.
-
-Null and empty texts have no words and score 0.  The network that is sent to the
-tasks has a fixed size.
+Words, in lower case, are counted in a distributed table with the groups of
+contexts that they stand in.  In descending order of count they are cut into
+classes of about equal mass; the number of classes and the size of the network
+grow with the vocabulary.  A small network reads the two words on either side of
+a masked one and predicts its class; a word that fills a class is predicted by
+it alone.  Inside a class the word follows its counts in its own group of
+contexts, smoothed by its counts in all of them (a Dirichlet prior of one count
+a word).  Both factors sum to one, over classes and over the words of a class.
+
+The words that a block of texts has come back to it by block, with their class
+and counts, so no task holds the vocabulary.  Texts are then written as classes
+and buckets of context.  Every partition trains a copy of the network from the
+same start, on all its words; the copies are averaged by their words.  Sums are
+whole numbers, so their order does not matter.  The score of a text is the sum
+of the log-probabilities of all its words, each given both sides.
+
+Approximate are the reading of the context (neighbours are hashed to buckets for
+the network and to ``SIDES`` groups a side for the counts) and the averaging of
+copies.  Words themselves are never hashed together.  Null and empty texts have
+no words and score 0.  A word that the model has not seen counts as one that
+stands once in the rarest class.
 """
 
 from __future__ import annotations
@@ -20,15 +31,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic.llm import common
 
-BUCKETS, CLASSES, WIDTH, SIDE = 4096, 64, 12, 2
+WIDTH, SIDE, SIDES = 12, 2, 4
 BATCH, RATE, SEED = 4096, 0.5, 7
+#: Bytes of text of a block, and of coded words that are handled at a time.
+BLOCK_BYTES, CODED_BYTES = 8 << 20, 1 << 18
 _FIXED = float(1 << 16)
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
+_KEYS = SIDES * SIDES
+_COUNTS = [f"c{k}" for k in range(_KEYS)]
+
+
+def sizes_for(words: int) -> tuple[int, int]:
+    """Classes and buckets of context for a vocabulary."""
+    return max(16, round(2 * words**0.25)), 1 << max(12, int(8 * words**0.5 - 1).bit_length())
 
 
 @dataclass
@@ -41,11 +63,11 @@ class Network:
     bias: np.ndarray
 
     @staticmethod
-    def start() -> Network:
+    def start(mass: np.ndarray, buckets: int) -> Network:
+        """At the start classes have their ``mass`` in the corpus."""
         r = np.random.default_rng(SEED)
-        return Network(
-            r.normal(0, 0.3, (BUCKETS + 1, WIDTH)).astype(np.float32), np.ones((len(_OFFSETS), WIDTH), np.float32), r.normal(0, 0.3, (WIDTH, CLASSES)).astype(np.float32), np.zeros(CLASSES, np.float32)
-        )
+        bias = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
+        return Network(r.normal(0, 0.3, (buckets + 1, WIDTH)).astype(np.float32), np.ones((len(_OFFSETS), WIDTH), np.float32), r.normal(0, 0.3, (WIDTH, len(mass))).astype(np.float32), bias)
 
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.mix, self.out, self.bias]
@@ -53,11 +75,10 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
 
-    @staticmethod
-    def of(values: np.ndarray) -> Network:
-        shapes = [p.shape for p in Network.start().parts()]
-        cuts = np.cumsum([int(np.prod(s)) for s in shapes])
-        return Network(*(x.reshape(s).astype(np.float32) for x, s in zip(np.split(values, cuts[:-1]), shapes)))
+    def filled(self, values: np.ndarray) -> Network:
+        """A network of the same shape."""
+        cuts = np.cumsum([p.size for p in self.parts()])
+        return Network(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(values, cuts[:-1]), self.parts())))
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         seen = self.embed[context]
@@ -83,32 +104,117 @@ class Network:
         rows = context.ravel()
         steps = spread.reshape(-1, WIDTH) * np.float32(16)
         for d in range(WIDTH):
-            self.embed[:, d] -= np.bincount(rows, weights=steps[:, d], minlength=BUCKETS + 1).astype(np.float32)
+            self.embed[:, d] -= np.bincount(rows, weights=steps[:, d], minlength=len(self.embed)).astype(np.float32)
 
 
-def buckets_of(w: common.Words) -> np.ndarray:
-    """The bucket of each word; case does not count."""
-    per_distinct = np.array([zlib.crc32(x.lower()) % BUCKETS for x in w.distinct.to_pylist()], dtype=np.int32)
-    return per_distinct[w.code] if len(w.code) else np.zeros(0, dtype=np.int32)
-
-
-def contexts_of(bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The buckets around each word; beyond a text there is ``BUCKETS``."""
+def contexts_of(bucket: np.ndarray, first: np.ndarray, beyond: int) -> np.ndarray:
+    """The buckets around each word; outside a text there is ``beyond``."""
     sizes = np.diff(first)
     text = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(bucket)) + SIDE * (text + 1)
-    padded = np.full(len(bucket) + SIDE * (len(sizes) + 1), BUCKETS, dtype=np.int32)
+    padded = np.full(len(bucket) + SIDE * (len(sizes) + 1), beyond, dtype=np.int32)
     padded[place] = bucket
     return np.stack([padded[place + o] for o in _OFFSETS], axis=1) if len(bucket) else np.zeros((0, len(_OFFSETS)), np.int32)
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    network, counts, words = Network.start(), np.zeros(BUCKETS, dtype=np.int64), 0
+@dataclass
+class Coded:
+    """The words of a block: ``code`` numbers ``distinct``, ``crc`` is per distinct word, ``key`` the group of contexts of each word."""
+
+    first: np.ndarray
+    code: np.ndarray
+    distinct: pa.Array
+    crc: np.ndarray
+    key: np.ndarray
+
+
+def coded_words(texts: pa.Array) -> Coded:
+    """Case does not count."""
+    w = common.words_of(texts)
+    lower = pc.ascii_lower(w.distinct.cast(pa.large_string())).dictionary_encode()
+    code = lower.indices.to_numpy(zero_copy_only=False)[w.code] if len(w.code) else np.zeros(0, dtype=np.int32)
+    crc = np.array([zlib.crc32(x.encode()) for x in lower.dictionary.to_pylist()], dtype=np.uint32)
+    # Beyond a text there is group 0.
+    group = ((crc >> np.uint32(20)) % SIDES).astype(np.int64)[code] if len(code) else code
+    left, right = np.zeros(len(code), dtype=np.int64), np.zeros(len(code), dtype=np.int64)
+    left[1:], right[:-1] = group[:-1], group[1:]
+    full = np.flatnonzero(np.diff(w.first))
+    left[w.first[:-1][full]] = 0
+    right[w.first[1:][full] - 1] = 0
+    return Coded(w.first, code, lower.dictionary, crc, left * SIDES + right)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block, size = TaskContext.get().partitionId() << 32, 0
     for part in common.slices(batches):
-        w = common.words_of(part.column("text"))
-        bucket = buckets_of(w)
-        counts += np.bincount(bucket, minlength=BUCKETS)
-        context, target = contexts_of(bucket, w.first), bucket % CLASSES
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(np.full(part.num_rows, block))], names=["doc_id", "text", "block"])
+        size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        if size >= BLOCK_BYTES:
+            block, size = block + 1, 0
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(block: int, texts: list[pa.Array]) -> pa.RecordBatch:
+        w = coded_words(pa.concat_arrays(texts))
+        counts = np.bincount(w.code.astype(np.int64) * _KEYS + w.key, minlength=len(w.distinct) * _KEYS).reshape(-1, _KEYS)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(w.distinct), block)), w.distinct.cast(pa.string()), *(pa.array(counts[:, k]) for k in range(_KEYS))], names=["block", "word", *_COUNTS])
+
+    now, held = None, []
+    for batch in batches:
+        of = batch.column("block").to_numpy()
+        ends = [*(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        at = 0
+        for end in ends if len(of) else []:
+            if held and of[at] != now:
+                yield counted(now, held)
+                held = []
+            now = int(of[at])
+            held.append(batch.column("text").slice(at, end - at))
+            at = end
+    if held:
+        yield counted(now, held)
+
+
+def _encode(docs: pa.Table, words: pa.Table, totals: np.ndarray, buckets: int) -> pa.Table:
+    """Per text its words' classes and buckets, and the log-probability of its words inside their classes."""
+    w = coded_words(docs.column("text").combine_chunks())
+    of = words.column("word").combine_chunks().cast(pa.large_string())
+    # A last row stands for what the model has not seen.
+    row = pc.fill_null(pc.index_in(w.distinct, value_set=of), len(of)).to_numpy(zero_copy_only=False)[w.code] if len(w.code) else w.code
+    counts = np.zeros((len(of) + 1, _KEYS))
+    for k, name in enumerate(_COUNTS):
+        counts[:-1, k] = words.column(name).to_numpy()
+    kinds = np.append(words.column("class").to_numpy(), len(totals) - 1).astype(np.uint16)
+    every = counts.sum(axis=1)
+    every[-1] = 1
+    kind = kinds[row]
+    in_class, size, heard = totals[:, :_KEYS], totals[:, -1], totals[:, :-1].sum(axis=1)
+    p = (counts[row, w.key] + size[kind] * every[row] / heard[kind]) / (in_class[kind, w.key] + size[kind])
+    sums = np.concatenate([[0.0], np.cumsum(np.log(p))])
+    inside = sums[w.first[1:]] - sums[w.first[:-1]]
+    bucket = (w.crc % np.uint32(buckets)).astype(_bucket_type(buckets))[w.code] if len(w.code) else np.zeros(0, _bucket_type(buckets))
+
+    def packed(x: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(inside), [None, pa.py_buffer((w.first * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+    return pa.table({"doc_id": docs.column("doc_id"), "n_words": np.diff(w.first).astype(np.int64), "inside": inside, "classes": packed(kind), "buckets": packed(bucket)})
+
+
+def _bucket_type(buckets: int) -> type:
+    return np.uint16 if buckets <= 1 << 16 else np.uint32
+
+
+def _unpacked(part: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, limits = common.text_bytes(part.column("classes"))
+    bucket, _ = common.text_bytes(part.column("buckets"))
+    first = limits // 2
+    return np.frombuffer(data.tobytes(), np.uint16).astype(np.int64), contexts_of(np.frombuffer(bucket.tobytes(), _bucket_type(buckets)), first, buckets), first
+
+
+def _train(batches: Iterator[pa.RecordBatch], mass: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    network, words = Network.start(mass, buckets), 0
+    for part in common.slices(batches, "classes", CODED_BYTES):
+        target, context, _ = _unpacked(part, buckets)
         # Words of a batch come from all over the slice.
         step = max(1, -(-len(target) // BATCH))
         for i in range(step if len(target) else 0):
@@ -116,52 +222,106 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words += len(target)
     if words:
         flat = np.rint(network.flat().astype(np.float64) * _FIXED).astype(np.int64) * words
-        values = np.concatenate([flat, counts, [words]])
+        values = np.concatenate([flat, [words]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["place", "value"])
 
 
 @dataclass
 class Model:
+    """``vocabulary`` is a table of (word, class, counts by group of contexts); ``totals`` has per class its counts by group, those of unseen words, and its words."""
+
+    vocabulary: DataFrame
+    totals: np.ndarray
+    buckets: int
     network: Network
-    within: np.ndarray  # log-probability of each bucket in its class
 
 
-def train(docs: DataFrame) -> Model | None:
-    """Trains on all of ``docs``; the driver gets one number per parameter and bucket."""
-    sums = docs.select("text").mapInArrow(_train, "place int, value long").groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value"))
-    got = sums.toPandas()
-    if got.empty:
+def _levels(by_count: list[tuple[int, int]], classes: int) -> list[tuple[int, int, int]]:
+    """(count, first class, classes) from (count, words) so that classes, in descending order of count, have about equal mass."""
+    total, before, out = sum(n * k for n, k in by_count), 0, []
+    for n, k in sorted(by_count, reverse=True):
+        low, high = classes * before // total, classes * (before + n * k - 1) // total
+        out.append((n, low, min(high - low + 1, k)))
+        before += n * k
+    return out
+
+
+def _encoded(dealt: DataFrame, counted: DataFrame, vocabulary: DataFrame, totals: np.ndarray, buckets: int) -> DataFrame:
+    back = counted.select("block", "word").join(vocabulary, "word", "inner")
+    both = dealt.groupBy("block").cogroup(back.groupBy("block"))
+    return both.applyInArrow(lambda a, b: _encode(a, b, totals, buckets), "doc_id long, n_words long, inside double, classes binary, buckets binary")
+
+
+def _dealt(docs: DataFrame, shared: common.Shared) -> tuple[DataFrame, DataFrame]:
+    """Texts with their block, and the counted words of each block."""
+    dealt = shared.put(docs.select("doc_id", "text").mapInArrow(_blocks, "doc_id long, text string, block long"))
+    return dealt, shared.put(dealt.select("text", "block").mapInArrow(_count, "block long, word string, " + ", ".join(f"{c} long" for c in _COUNTS)))
+
+
+def _fit(docs: DataFrame, shared: common.Shared) -> tuple[Model, DataFrame] | None:
+    """A model of all of ``docs``, and ``docs`` encoded under it; the driver gets numbers per class, per distinct count and per parameter."""
+    spark = docs.sparkSession
+    dealt, counted = _dealt(docs, shared)
+    every = F.lit(0)
+    for c in _COUNTS:
+        every = every + F.col(c)
+    plain = shared.put(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS)).select("*", every.alias("n")))
+    by_count = [(r[0], r[1]) for r in plain.groupBy("n").count().collect()]
+    if not by_count:
         return None
-    values = np.zeros(int(got["place"].max()) + 1)
+    classes, buckets = sizes_for(sum(k for _, k in by_count))
+    levels = F.broadcast(spark.createDataFrame(_levels(by_count, classes), "n long, low int, width int"))
+    kind = (F.col("low") + F.pmod(F.xxhash64("word"), F.col("width"))).cast("int")
+    vocabulary = shared.put(plain.join(levels, "n").select("word", kind.alias("class"), *_COUNTS))
+    totals = np.zeros((classes, _KEYS + 2))
+    for r in vocabulary.groupBy("class").agg(*(F.sum(c) for c in _COUNTS), F.count(F.lit(1))).collect():
+        totals[r[0], :_KEYS], totals[r[0], -1] = r[1:-1], r[-1]
+    totals[-1, -2:] += 1  # a word that has not been seen
+    coded = shared.put(_encoded(dealt, counted, vocabulary, totals, buckets))
+    shared.drop(dealt, counted, plain)
+    mass = totals[:, :_KEYS].sum(axis=1)
+    sums = coded.select("classes", "buckets").mapInArrow(lambda it: _train(it, mass, buckets), "place int, value long").groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value"))
+    got = sums.toPandas()
+    values = np.zeros(len(got))
     values[got["place"].to_numpy()] = got["value"].astype(float).to_numpy()
-    counts = values[-1 - BUCKETS : -1] + 0.5
-    total = np.bincount(np.arange(BUCKETS) % CLASSES, weights=counts, minlength=CLASSES)
-    return Model(Network.of(values[: -1 - BUCKETS] / values[-1] / _FIXED), np.log(counts / total[np.arange(BUCKETS) % CLASSES]))
+    return Model(vocabulary, totals, buckets, Network.start(mass, buckets).filled(values[:-1] / values[-1] / _FIXED)), coded
+
 
+def train(docs: DataFrame) -> Model | None:
+    """Trains on all of ``docs``; None if they have no words."""
+    fitted = _fit(docs, common.Shared(docs.sparkSession, "likelihood"))
+    return fitted[0] if fitted else None
 
-def word_scores(model: Model, bucket: np.ndarray, context: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(bucket))
-    for i in range(0, len(bucket), BATCH):
-        b = bucket[i : i + BATCH]
-        _, _, logits = model.network.forward(context[i : i + BATCH])
-        out[i : i + BATCH] = logits[np.arange(len(b)), b % CLASSES] - np.log(np.exp(logits).sum(axis=1)) + model.within[b]
+
+def class_scores(network: Network, kind: np.ndarray, context: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(kind))
+    for i in range(0, len(kind), BATCH):
+        b = kind[i : i + BATCH]
+        _, _, logits = network.forward(context[i : i + BATCH])
+        out[i : i + BATCH] = logits[np.arange(len(b)), b] - np.log(np.exp(logits).sum(axis=1))
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    for part in common.slices(batches):
-        w = common.words_of(part.column("text"))
-        n = np.diff(w.first)
-        if model is None:
-            total = np.zeros(len(n))
-        else:
-            bucket = buckets_of(w)
-            sums = np.concatenate([[0.0], np.cumsum(word_scores(model, bucket, contexts_of(bucket, w.first)))])
-            total = sums[w.first[1:]] - sums[w.first[:-1]]
+def _score(batches: Iterator[pa.RecordBatch], network: Network, buckets: int) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches, "classes", CODED_BYTES):
+        kind, context, first = _unpacked(part, buckets)
+        n = np.diff(first)
+        sums = np.concatenate([[0.0], np.cumsum(class_scores(network, kind, context))])
+        total = sums[first[1:]] - sums[first[:-1]] + part.column("inside").to_numpy()
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total), pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0))], names=["doc_id", "n_words", "log_probability", "per_word"])
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, n_words, log_probability, per_word) of every row of ``docs`` under a model trained on all of them."""
-    fitted = model or train(docs)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _score(it, fitted), "doc_id long, n_words long, log_probability double, per_word double")
+    """(doc_id, n_words, log_probability, per_word) of every row of ``docs`` under a model, or one trained on all of them."""
+    shared = common.Shared(docs.sparkSession, "likelihood")
+    if model is None:
+        fitted = _fit(docs, shared)
+        if fitted is None:
+            return docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_probability"), F.lit(0.0).alias("per_word"))
+        model, coded = fitted
+    else:
+        dealt, counted = _dealt(docs, shared)
+        coded = shared.put(_encoded(dealt, counted, model.vocabulary, model.totals, model.buckets))
+        shared.drop(dealt, counted)
+    network, buckets = model.network, model.buckets
+    return coded.mapInArrow(lambda it: _score(it, network, buckets), "doc_id long, n_words long, log_probability double, per_word double")

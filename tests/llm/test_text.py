@@ -190,3 +190,31 @@ def test_pseudo_likelihood(docs, empty):
     got = by_id(pseudo_likelihood.score(docs))
     assert got[0].log_probability == 0.0 and all(r.log_probability < 0 for r in got.values() if r.n_words)
     assert pseudo_likelihood.score(empty).count() == 0
+
+
+def test_likelihood_tells_words_apart(spark):
+    # Both words have the same CRC-32 modulo 4,096; one is common, the other stands once.
+    import zlib
+
+    common = "tavo"
+    rare = next(w for w in (f"q{i}" for i in range(100_000)) if zlib.crc32(w.encode()) % 4096 == zlib.crc32(common.encode()) % 4096)
+    filler = [f"f{i}" for i in range(40)]
+    rows = [(i, f"{filler[i % 40]} {common} {filler[(i + 7) % 40]}") for i in range(400)]
+    # Between "left" and "right" stands only "inner", after "other" only "outer"; both are equally common.
+    rows += [(1000 + i, "left inner right" if i % 2 else "other outer place") for i in range(200)]
+    rows += [(5000, f"{filler[0]} {rare} {filler[7]}"), (5001, f"{filler[0]} {common} {filler[7]}"), (5002, "left inner right"), (5003, "left outer right")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = by_id(pseudo_likelihood.score(frame))
+    assert got[5000].log_probability < got[5001].log_probability - 2
+    assert got[5002].log_probability > got[5003].log_probability
+
+
+def test_likelihood_grows_with_the_vocabulary(spark):
+    small, large = (pseudo_likelihood.train(spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")) for n in (100, 40_000))
+    assert small.vocabulary.count() == 100 and large.vocabulary.count() == 40_000
+    assert len(large.totals) > len(small.totals)
+    # Inside a class and a group of contexts, the words' probabilities sum to one.
+    k, last = 5, len(large.totals) - 1
+    size, heard = large.totals[last, -1], large.totals[last, :-1].sum()
+    shares = [(r[f"c{k}"] + size * sum(r[f"c{j}"] for j in range(16)) / heard) / (large.totals[last, k] + size) for r in large.vocabulary.where(f"class = {last}").collect()]
+    assert abs(sum(shares) + size / heard / (large.totals[last, k] + size) - 1) < 1e-9
