@@ -16,7 +16,7 @@ fingerprints.  Repeated rows stay separate rows of one component.
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,38 +135,51 @@ def components(docs: DataFrame, size: int = 5) -> DataFrame:
     return marked.join(labels, "bits").select("doc_id", "bits", "component_id")
 
 
-#: Shingles sampled for a fingerprint, and fingerprints a text: of pairs at similarity 0.8, 1 - (1 - 0.8 ** 7) ** 28 or 99.8 % share one.
-SAMPLED, SAMPLES = 7, 28
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, SAMPLED * SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Of one text in ``SAMPLE``, shingles that at least ``OFTEN`` texts have are put last in the order of prefixes, ``MOST`` of them at most.
+SAMPLE, OFTEN, MOST = 8, 8, 1 << 20
+#: Texts of a group that the others are compared with before all that are still apart are.
+LEADERS = (1, 16)
 
 
-def sample_fingerprints(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """A row of ``SAMPLES`` fingerprints a text, each the majority bits of ``SAMPLED`` shingles that are the least under one order each."""
-    n = len(limits) - 1
-    least = np.zeros((n, len(_ODD)), dtype=np.uint64)
-    full = np.flatnonzero(np.diff(limits))
-    if len(full):
-        for i, odd in enumerate(_ODD):
-            least[full, i] = np.minimum.reduceat(hashes * odd, limits[full])
-    least += np.arange(len(_ODD), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        least = (least ^ (least >> np.uint64(shift))) * np.uint64(odd)
-    least ^= least >> np.uint64(31)
-    return majority_bits(least.ravel(), np.arange(0, n * len(_ODD) + 1, SAMPLED)).reshape(n, SAMPLES)
+def prefix_length(size: int, similarity: float) -> int:
+    """Texts at ``similarity`` share one of so many first shingles, whatever order all texts' shingles have."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _often(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for part in common.slices(batches):
         hashes, limits = shingle_hashes(part.column("text"), size)
-        marks = sample_fingerprints(hashes, limits).view(np.int64)
-        short = (hashes >> np.uint64(32)).astype(np.uint32)
-        sets = [np.unique(short[a:b]).view(np.int32) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
-        ends = np.zeros(len(sets) + 1, dtype=np.int32)
-        np.cumsum([len(x) for x in sets], out=ends[1:])
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("text_key"), pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, SAMPLES, dtype=np.int32)), pa.array(marks.ravel())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))],
-            names=["doc_id", "text_key", "marks", "shingles"],
-        )
+        sets = [np.unique(hashes[a:b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["mark"])
+
+
+def frequent_shingles(named: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts have, by a sample; any list gives the same links, a good one fewer candidates."""
+    some = named.where(F.pmod(F.col("text_key"), F.lit(SAMPLE)) == 0).dropDuplicates(["text_key"]).select("text")
+    counted = some.mapInArrow(lambda it: _often(it, size), "mark long").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    return np.sort(counted.orderBy(F.desc("n"), "mark").limit(MOST).select("mark").toPandas()["mark"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.zeros(len(parts) + 1, dtype=np.int32)
+        np.cumsum([len(x) for x in parts], out=ends[1:])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
+    for part in common.slices(batches):
+        hashes, limits = shingle_hashes(part.column("text"), size)
+        marks, sets = [], []
+        for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
+            whole = np.unique(hashes[a:b])
+            if len(often) and len(whole):
+                last = often[np.minimum(np.searchsorted(often, whole), len(often) - 1)] == whole
+                ordered = np.concatenate([whole[~last], whole[last]])
+            else:
+                ordered = whole
+            # Texts without words meet at 0.
+            marks.append(ordered[: prefix_length(len(ordered), similarity)].view(np.int64) if len(whole) else np.zeros(1, np.int64))
+            sets.append(np.unique((whole >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), lists(marks), lists(sets)], names=["doc_id", "text_key", "marks", "shingles"])
 
 
 def _keyed(docs: DataFrame) -> Column:
@@ -179,39 +192,39 @@ def _alike(a: str, b: str, similarity: float) -> Column:
 
 
 def similar_links(marked: DataFrame, shared: common.Shared, similarity: float) -> DataFrame:
-    """Links (u, v) of text keys whose shingle sets reach ``similarity``, without pairs.
+    """Links (u, v) of text keys that connect all whose shingle sets reach ``similarity``.
 
-    Texts that share a sample fingerprint are compared with the least of them;
-    those that are alike are linked and leave.  The others are compared with the
-    next ones, 8 and then 64 at a time, until none is left.
+    Candidates share a shingle of their prefixes, so no pair is missed.  Texts
+    that share one are compared with the first, then with 16 of them, and at last
+    with every one that is not yet connected to them.  A text that is linked
+    stays as a partner of the others; only pairs in one component are left out.
     """
-    sets = shared.put(marked.dropDuplicates(["text_key"]).select("text_key", "shingles"))
-    entered = shared.put(marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u")).distinct())
+    once = shared.put(marked.dropDuplicates(["text_key"]).select("text_key", "shingles", "marks"))
+    sets = once.select("text_key", "shingles")
+    every = once.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), F.size("shingles").alias("n"))
+    # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
+    several = every.groupBy("mark").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low < high").select("mark")
+    entered = shared.put(every.join(several, "mark", "left_semi").withColumn("root", F.col("u")))
+    links = marked.sparkSession.createDataFrame([], "u long, v long")
     place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
-    found = []
-    for leaders in itertools.chain((1, 8), itertools.repeat(64)):
-        if leaders == 1:
-            # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
-            least = entered.groupBy("mark").agg(F.min("u").alias("v"), F.max("u").alias("most")).where("most > v").select("mark", "v")
-        else:
-            # The rank filter is also applied before the shuffle, so no task gets a whole group.
-            least = entered.withColumn("place", place).where(F.col("place") <= leaders).select("mark", F.col("u").alias("v"))
-        least = shared.put(least)
-        met = shared.put(entered.join(least, "mark").where("u > v"))
-        if met.isEmpty():
+    for leaders in (*LEADERS, None):
+        first = entered if leaders is None else entered.withColumn("place", place).where(F.col("place") <= leaders)
+        first = first.select("mark", F.col("u").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
+        near = F.least("n", "n_v") + F.lit(1e-9) >= F.lit(similarity) * F.greatest("n", "n_v")
+        met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & near & (F.col("u") != F.col("v")))
+        pairs = shared.put(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u")
+        both = both.join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
+        links = shared.put(links.union(both.where(_alike("a", "b", similarity)).select("u", "v")))
+        if leaders is None:
             break
-        pairs = met.select("u", "v").distinct()
-        pairs = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u")
-        pairs = pairs.join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
-        good = shared.put(pairs.where(_alike("a", "b", similarity)).select("u", "v"))
-        found.append(good)
-        gone = met.join(good, ["u", "v"], "left_semi").select("mark", "u").union(least.select("mark", F.col("v").alias("u")))
-        rest = shared.put(met.select("mark", "u").distinct().join(gone, ["mark", "u"], "left_anti"))
-        shared.drop(entered, least, met)
+        # Marks of one component have no more to compare.
+        roots = connected_components(links, shared).select(F.col("node").alias("u"), F.col("root").alias("of"))
+        labelled = shared.put(entered.join(roots, "u", "left").select("mark", "u", "n", F.coalesce("of", "u").alias("root")))
+        apart = labelled.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("mark")
+        rest = shared.put(labelled.join(apart, "mark", "left_semi"))
+        shared.drop(entered, labelled, pairs)
         entered = rest
-    links = marked.sparkSession.createDataFrame([], "u long, v long")
-    for f in found:
-        links = links.union(f)
     return links
 
 
@@ -219,14 +232,15 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     """One row of each group of texts whose sets of ``size``-word shingles are alike: the one with the smallest doc_id, null last.
 
     Texts at that similarity differ in up to 15 bits of a whole fingerprint,
-    where the grid no longer separates, so candidates are texts that share the
-    fingerprint of a sample, and shingle sets decide.  Equal texts are told by 64
+    where the grid no longer separates, so candidates are texts that share a
+    shingle of their prefixes, and shingle sets decide.  Equal texts are told by 64
     bits, shingles by 32.  Texts without words are one group.  Of repeated rows
     one stays; of rows that share a doc_id but not a group, each.
     """
     shared = common.Shared(docs.sparkSession, "near")
     named = docs.select("doc_id", "text", _keyed(docs).alias("text_key"))
-    marked = shared.put(named.mapInArrow(lambda it: _sampled(it, size), "doc_id long, text_key long, marks array<long>, shingles array<int>"))
+    often = frequent_shingles(named, size)
+    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, marks array<long>, shingles array<int>"))
     texts = shared.put(marked.groupBy("text_key").agg(F.min("doc_id").alias("least")))
     roots = connected_components(similar_links(marked, shared, similarity), shared)
     grouped = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))

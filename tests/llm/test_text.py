@@ -218,3 +218,29 @@ def test_likelihood_grows_with_the_vocabulary(spark):
     size, heard = large.totals[last, -1], large.totals[last, :-1].sum()
     shares = [(r[f"c{k}"] + size * sum(r[f"c{j}"] for j in range(16)) / heard) / (large.totals[last, k] + size) for r in large.vocabulary.where(f"class = {last}").collect()]
     assert abs(sum(shares) + size / heard / (large.totals[last, k] + size) - 1) < 1e-9
+
+
+def test_keep_one_keeps_chains_in_a_large_group(spark):
+    # Every u is like the base and the other u; each w is like one u only.
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for i in range(1500):
+        u = list(base)
+        u[10 + i % 50] = f"u{i}"
+        w = list(u)
+        w[70], w[85] = f"x{i}", f"y{i}"
+        texts += [" ".join(u), " ".join(w)]
+    texts += [" ".join(f"z{k} {j}" for j in range(50)) for k in range(3)]
+    sets = [_shingles(t) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(sum(alike(sets[w], sets[v]) for v in range(3001) if v != w) == 1 for w in range(2, 3001, 500))
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 3001, 3002, 3003]
+
+
+def test_keep_one_finds_every_pair_at_the_limit(spark):
+    # 20 shingles and those with 5 more: a similarity of 0.8.
+    words = [[f"p{k} q{j}" for j in range(15)] for k in range(3000)]
+    texts = [" ".join(" ".join(w).split()[:n]) for w in words for n in (24, 29)]
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 6000, 2))
