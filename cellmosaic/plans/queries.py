@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,24 @@ GRID_SQL = "SELECT CAST(vec_id AS INT) AS row, CAST(u.pos-1 AS INT) AS col, CASE
 RASTER = Raster(64, 512, (1 / 64, 0.0, 174.0, 0.0, -1 / 512, -36.0), ("band_1", "klass"))
 
 
+def raster_of(rows: int) -> Raster:
+    """``RASTER``, as high as a table of ``rows`` rows needs; its rows get lower by halves where they would pass the pole."""
+    height, step = max(rows, RASTER.height), -RASTER.affine[4]
+    while RASTER.affine[5] - height * step < -90:
+        step /= 2
+    return replace(RASTER, height=height, affine=(*RASTER.affine[:4], -step, RASTER.affine[5]))
+
+
 def _events(spark: SparkSession, sf_dir: str, where: dict) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
     return spark.sql(POINTS.format(**where))
 
 
+def _raster(spark: SparkSession, sf_dir: str) -> Raster:
+    last = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max("vec_id")).first()[0]
+    return raster_of(0 if last is None else last + 1)
+
+
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.posexplode("embedding").alias("pos", "v"))
     gap = (F.col("vec_id") * 64 + F.col("pos")) % 17 == 0
@@ -192,8 +206,9 @@ _SAMPLE_RES = 6
 
 def _sampled(how: str) -> tuple[Query, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cells = _GH.cells_in_box(spark, _SAMPLE_RES, *RASTER.bounds()).select("cell", "lon", "lat")
-        out = sampling.sample(cells, _grid(spark, sf_dir), RASTER, ("band_1",), how)
+        raster = _raster(spark, sf_dir)
+        cells = _GH.cells_in_box(spark, _SAMPLE_RES, *raster.bounds()).select("cell", "lon", "lat")
+        out = sampling.sample(cells, _grid(spark, sf_dir), raster, ("band_1",), how)
         return out.select("cell", F.bround("band_1", 6).alias("value"))
 
     low, high, needed = sampling.STENCILS[how]
@@ -223,8 +238,9 @@ _OVER_RES = 6
 
 
 def _covered(spark: SparkSession, sf_dir: str, bands: tuple[str, ...]) -> DataFrame:
-    cells = _GH.cells_in_box(spark, _OVER_RES, *RASTER.bounds()).select("cell", "ix", "iy")
-    return overlay.coverage(cells, _GH, _OVER_RES, RASTER, _grid(spark, sf_dir), bands)
+    raster = _raster(spark, sf_dir)
+    cells = _GH.cells_in_box(spark, _OVER_RES, *raster.bounds()).select("cell", "ix", "iy")
+    return overlay.coverage(cells, _GH, _OVER_RES, raster, _grid(spark, sf_dir), bands)
 
 
 def _covered_sql() -> str:

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from cellmosaic.functions.aggregates import by_cell
 from cellmosaic.functions.histograms import Bins, histogram
 from cellmosaic.operators.grids import grid, parent
+from cellmosaic.plans import queries
 from cellmosaic.plans.config import IndexConfig
 from cellmosaic.sources.raster import Raster, select_bands
 from cellmosaic.sources.sinks import with_geometry, write_cells
@@ -95,3 +96,19 @@ def test_against_sql(spark, name):
     columns = sorted(made.columns)
     wanted = con.execute("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({entry.oracle_sql()[name]})").fetchall()
     assert _same([tuple(r) for r in made.select(*columns).collect()], wanted)
+
+
+def test_rasters_are_as_high_as_their_table(spark, tmp_path):
+    rows = 700
+    made = spark.range(rows).select(F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast("float"), 64).alias("embedding"), F.lit(1).alias("label"))
+    made.write.parquet(str(tmp_path / "embeddings.parquet"))
+    g = grid("geohash")
+    for name in ("sample_nn", "sample_bilinear", "overlay_weighted"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        _, lat = g.center(F.col("cell"), 6)
+        away = F.abs(F.col("value") - ((-36 - lat) * 512 - 0.5))
+        # Values are row numbers; gaps in a stencil move them a little.
+        assert got.select(F.max("value")).first()[0] > rows - 8 and got.where(away > 2).count() == 0
+    for n in (500, 2000, 27_648, 27_649, 51_282, 10**7):
+        assert queries.raster_of(n).bounds()[1] >= -90 and queries.raster_of(n).height >= n
+    assert queries.raster_of(500) == queries.RASTER
