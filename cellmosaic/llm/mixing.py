@@ -38,7 +38,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = weighed.select("*", (left / heavy).alias("level"))
     capped = level.select("*", (F.lit(cap) * F.col("source_size") <= F.col("level") * F.col("weight")).alias("capped"))
-    first = F.min(F.when(~F.col("capped"), F.struct((F.col("source_size") / F.col("weight")).alias("ratio"), F.col("level")))).over(everything)
+    # Of tied sources only the first has no uncapped one before it.
+    first = F.min(F.when(~F.col("capped"), F.struct((F.col("source_size") / F.col("weight")).alias("ratio"), F.col("source").isNull().alias("none"), "source", "level"))).over(everything)
     settled = capped.select("*", first["level"].alias("free"))
     return settled.select("source", "source_size", F.when(F.col("capped"), F.lit(cap) * F.col("source_size")).otherwise(F.col("free") * F.col("weight")).alias("target"))
 

@@ -244,3 +244,10 @@ def test_keep_one_finds_every_pair_at_the_limit(spark):
     texts = [" ".join(" ".join(w).split()[:n]) for w in words for n in (24, 29)]
     got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 6000, 2))
+
+
+@pytest.mark.parametrize("sizes,want", [((300, 100, 200), (450, 150, 300)), ((120,) * 6, (240, 100, 200, 240, 100, 200))])
+def test_mixing_of_tied_sources(spark, sizes, want):
+    rows = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, size long")
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    assert [round(got[f"s{i}"], 6) for i in range(len(sizes))] == list(want)
