@@ -25,7 +25,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head script style noscript template title svg math iframe object select textarea button audio video canvas".split())
+DROPPED = frozenset("head script style noscript template title svg iframe object select textarea button audio video canvas".split())
+#: Elements whose start tags may close themselves.
+FOREIGN = frozenset(["svg"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog search".split())
@@ -107,7 +109,7 @@ def blocks_of(page: str) -> list[Block]:
                 if name in RAW:
                     end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
                     at = end.end() if end else n
-                else:
+                elif not (name in FOREIGN and m[3].endswith("/")):
                     at = _skip(page, name, at)
                 if name in ("head",):
                     flush()
@@ -146,13 +148,20 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _skip(page: str, name: str, at: int) -> int:
-    """The position behind the end tag that closes ``name``, which may be nested."""
-    depth = 1
-    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(page) if name != "head" else at
+    """The position behind the end tag that closes ``name``, which may be nested; without one, before the end tag of the block around it."""
+    depth, inside, block = 1, 0, None
+    for m in _TOKEN.finditer(page, at):
+        found = (m[2] or "").lower()
+        if found == name:
+            if not (name in FOREIGN and m[3].endswith("/")):
+                depth += -1 if m[1] else 1
+            if not depth:
+                return m.end()
+        elif block is None and found in BLOCKS and found not in VOID and not m[3].endswith("/"):
+            inside += -1 if m[1] else 1
+            if inside < 0:
+                block = m.start()
+    return at if name == "head" else len(page) if block is None else block
 
 
 FEATURES = ("container", "kind", "words", "links", "words_before", "links_before", "words_after", "links_after")

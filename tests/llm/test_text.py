@@ -251,3 +251,9 @@ def test_mixing_of_tied_sources(spark, sizes, want):
     rows = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(rows).collect()}
     assert [round(got[f"s{i}"], 6) for i in range(len(sizes))] == list(want)
+
+
+@pytest.mark.parametrize("part,want", [("<svg class=icon/>", ""), ("<svg><path d='x'/></svg>", ""), ("<math><mi>x</mi></math>", " x"), ("<svg><p>a</p>", "")])
+def test_pages_go_on_after_dropped_elements(part, want):
+    page = f"<article><h1>Title</h1><p>First words of it{part}</p><p>Second words stay.</p></article>"
+    assert page_text.main_text(page, page_text.trained()) == f"Title\nFirst words of it{want.strip()}\nSecond words stay."
