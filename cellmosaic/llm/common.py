@@ -38,6 +38,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores added until none is among ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Shared:
     """Tables written to the shared folder in the course of one query.
 

@@ -8,7 +8,9 @@ floor(rate) times and once more if a hash of its doc_id and a seed falls below
 the fraction.
 
 Null and empty texts have size 0.  Rows that share a doc_id draw alike.  Empty
-tables give empty results.  A null source is a source of its own.
+tables give empty results.  A null source is a source of its own.  Very long
+texts are counted whole, in generated code.  Columns of ``docs`` may have any
+names; ``mix`` returns them all, ``mix_report`` none but doc_id.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellmosaic.llm.common import WORD, Shared
+from cellmosaic.llm.common import WORD, Shared, fresh
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
@@ -75,8 +77,9 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     Only sizes are shuffled: the rates come back by source, one row each.
     """
     sizes = Shared(docs.sparkSession, "mixing").put(sized(docs).select("source", "size"))
-    goal = targets(sizes, **settings).select(F.col("source").alias("mix_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("mix_rate"))
-    both = docs.join(goal, F.col("source").eqNullSafe(F.col("mix_of")))
-    whole = F.floor("mix_rate")
-    copies = (whole + (draw() < F.col("mix_rate") - whole).cast("long")).cast("int")
-    return both.where(copies > 0).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias("mix_copy")).drop("mix_copy")
+    of, rate, copy = fresh(docs.columns, "mix_of", "mix_rate", "mix_copy")
+    goal = targets(sizes, **settings).select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    both = docs.join(goal, docs["source"].eqNullSafe(goal[of]))
+    whole = F.floor(rate)
+    copies = (whole + (draw() < F.col(rate) - whole).cast("long")).cast("int")
+    return both.where(copies > 0).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias(copy)).drop(copy)

@@ -168,6 +168,7 @@ def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, o
 
     for part in common.slices(batches):
         hashes, limits = shingle_hashes(part.column("text"), size)
+        bits = pa.array(majority_bits(hashes, limits).view(np.int64))
         marks, sets = [], []
         for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
             whole = np.unique(hashes[a:b])
@@ -179,7 +180,7 @@ def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, o
             # Texts without words meet at 0.
             marks.append(ordered[: prefix_length(len(ordered), similarity)].view(np.int64) if len(whole) else np.zeros(1, np.int64))
             sets.append(np.unique((whole >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), lists(marks), lists(sets)], names=["doc_id", "text_key", "marks", "shingles"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), bits, lists(marks), lists(sets)], names=["doc_id", "text_key", "bits", "marks", "shingles"])
 
 
 def _keyed(docs: DataFrame) -> Column:
@@ -191,61 +192,78 @@ def _alike(a: str, b: str, similarity: float) -> Column:
     return both >= similarity * (F.size(a) + F.size(b) - both)
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) of text keys whose shingle sets reach ``similarity``."""
+    both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u")
+    both = both.join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
+    return both.where(_alike("a", "b", similarity)).select("u", "v")
+
+
+def grid_pairs(once: DataFrame, shared: common.Shared) -> DataFrame:
+    """Pairs (u, v) of text keys that the grid links: one for each text whose fingerprint another text has, and one for each link of fingerprints."""
+    least = shared.put(once.groupBy("bits").agg(F.min("text_key").alias("rep")))
+    same = once.select("text_key", "bits").join(least, "bits").where("text_key <> rep").select(F.col("text_key").alias("u"), F.col("rep").alias("v"))
+    linked = shared.put(links(least.select("bits")))
+    named = linked.join(least.select(F.col("bits").alias("u"), F.col("rep").alias("rep_u")), "u").join(least.select(F.col("bits").alias("v"), F.col("rep").alias("rep_v")), "v")
+    return same.union(named.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")))
+
+
 def similar_links(marked: DataFrame, shared: common.Shared, similarity: float) -> DataFrame:
     """Links (u, v) of text keys that connect all whose shingle sets reach ``similarity``.
 
-    Candidates share a shingle of their prefixes, so no pair is missed.  Texts
-    that share one are compared with the first, then with 16 of them, and at last
-    with every one that is not yet connected to them.  A text that is linked
-    stays as a partner of the others; only pairs in one component are left out.
+    The grid links fingerprints within 2 bits first, and shingle sets verify its
+    links; so most copies of a large group hang together before anything else is
+    compared.  For the pairs that are further apart in bits, candidates share a
+    shingle of their prefixes, so no pair is missed.  Texts that share one are
+    compared with the first, then with 16 of them, and at last with every one that
+    is not yet connected to them.  A text that is linked stays as a partner of the
+    others; only pairs in one component are left out.
     """
-    once = shared.put(marked.dropDuplicates(["text_key"]).select("text_key", "shingles", "marks"))
+    once = shared.put(marked.dropDuplicates(["text_key"]).select("text_key", "bits", "shingles", "marks"))
     sets = once.select("text_key", "shingles")
     every = once.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), F.size("shingles").alias("n"))
     # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
     several = every.groupBy("mark").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low < high").select("mark")
-    entered = shared.put(every.join(several, "mark", "left_semi").withColumn("root", F.col("u")))
-    links = marked.sparkSession.createDataFrame([], "u long, v long")
+    entered = shared.put(every.join(several, "mark", "left_semi"))
+    found = shared.put(_verified(grid_pairs(once, shared), sets, similarity))
     place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
     for leaders in (*LEADERS, None):
+        # Marks of one component have no more to compare.
+        roots = connected_components(found, shared).select(F.col("node").alias("u"), F.col("root").alias("of"))
+        labelled = shared.put(entered.select("mark", "u", "n").join(roots, "u", "left").select("mark", "u", "n", F.coalesce("of", "u").alias("root")))
+        apart = labelled.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("mark")
+        rest = shared.put(labelled.join(apart, "mark", "left_semi"))
+        shared.drop(entered, labelled)
+        entered = rest
         first = entered if leaders is None else entered.withColumn("place", place).where(F.col("place") <= leaders)
         first = first.select("mark", F.col("u").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
         near = F.least("n", "n_v") + F.lit(1e-9) >= F.lit(similarity) * F.greatest("n", "n_v")
         met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & near & (F.col("u") != F.col("v")))
         pairs = shared.put(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u")
-        both = both.join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
-        links = shared.put(links.union(both.where(_alike("a", "b", similarity)).select("u", "v")))
-        if leaders is None:
-            break
-        # Marks of one component have no more to compare.
-        roots = connected_components(links, shared).select(F.col("node").alias("u"), F.col("root").alias("of"))
-        labelled = shared.put(entered.join(roots, "u", "left").select("mark", "u", "n", F.coalesce("of", "u").alias("root")))
-        apart = labelled.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("mark")
-        rest = shared.put(labelled.join(apart, "mark", "left_semi"))
-        shared.drop(entered, labelled, pairs)
-        entered = rest
-    return links
+        found = shared.put(found.union(_verified(pairs, sets, similarity)))
+        shared.drop(pairs)
+    return found
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of texts whose sets of ``size``-word shingles are alike: the one with the smallest doc_id, null last.
 
-    Texts at that similarity differ in up to 15 bits of a whole fingerprint,
-    where the grid no longer separates, so candidates are texts that share a
-    shingle of their prefixes, and shingle sets decide.  Equal texts are told by 64
-    bits, shingles by 32.  Texts without words are one group.  Of repeated rows
+    The grid links what differs in up to 2 bits.  Texts at that similarity differ
+    in up to 15 bits, where the grid no longer separates, so the other candidates
+    are texts that share a shingle of their prefixes; shingle sets decide in both
+    cases.  Equal texts are told by 64 bits, shingles by 32.  Texts without words are one group.  Of repeated rows
     one stays; of rows that share a doc_id but not a group, each.
     """
     shared = common.Shared(docs.sparkSession, "near")
     named = docs.select("doc_id", "text", _keyed(docs).alias("text_key"))
     often = frequent_shingles(named, size)
-    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, marks array<long>, shingles array<int>"))
+    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, marks array<long>, shingles array<int>"))
     texts = shared.put(marked.groupBy("text_key").agg(F.min("doc_id").alias("least")))
     roots = connected_components(similar_links(marked, shared, similarity), shared)
     grouped = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "text_key")).alias("first"))
     kept = first.select(F.col("first.least").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
-    rows = docs.withColumn("near_text_key", _keyed(docs))
-    rows = rows.join(kept, rows.doc_id.eqNullSafe(F.col("kept_id")) & (rows.near_text_key == F.col("kept_key")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "near_text_key"]).select(*docs.columns)
+    key, kept_id, kept_key = common.fresh(docs.columns, "text_key", "kept_id", "kept_key")
+    rows, kept = docs.withColumn(key, _keyed(docs)), kept.toDF(kept_id, kept_key)
+    rows = rows.join(kept, rows.doc_id.eqNullSafe(kept[kept_id]) & (rows[key] == kept[kept_key]), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).select(*docs.columns)
