@@ -4,6 +4,13 @@ Every stage works on all that its predecessor kept.  Stages are written as
 Parquet to the folder that the cluster shares and read again as the next stage's
 documents.  Toxic documents go; of each group of near copies one stays; secrets
 are replaced; sources are mixed to their targets; what is left is encoded.
+
+Null and empty texts are clean, are one group of near copies, hold no secret, have
+size 0 in the mix and encode to no tokens.  Of repeated
+rows one stays; ties between near copies go to the smallest doc_id, null last.
+Empty tables give empty results.  Extra columns of ``documents``, whatever their
+names, go along to the last stage, which returns its own columns.  Very long
+texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -29,7 +36,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets replaced by their kind; n_chars follows."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    redacted = secret_scan.redact(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
+    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
