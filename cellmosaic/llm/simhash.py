@@ -136,7 +136,7 @@ def components(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 #: Of one text in ``SAMPLE``, shingles that at least ``OFTEN`` texts have are put last in the order of prefixes, ``MOST`` of them at most.
-SAMPLE, OFTEN, MOST = 8, 8, 1 << 20
+SAMPLE, OFTEN, MOST = 16, 4, 1 << 20
 #: Texts of a group that the others are compared with before all that are still apart are.
 LEADERS = (1, 16)
 
@@ -147,6 +147,7 @@ def prefix_length(size: int, similarity: float) -> int:
 
 
 def _often(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct shingles."""
     for part in common.slices(batches):
         hashes, limits = shingle_hashes(part.column("text"), size)
         sets = [np.unique(hashes[a:b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
@@ -160,16 +161,22 @@ def frequent_shingles(named: DataFrame, size: int) -> np.ndarray:
     return np.sort(counted.orderBy(F.desc("n"), "mark").limit(MOST).select("mark").toPandas()["mark"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        ends = np.zeros(len(parts) + 1, dtype=np.int32)
-        np.cumsum([len(x) for x in parts], out=ends[1:])
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
+
+def _narrow(shingles: np.ndarray) -> np.ndarray:
+    """The set of a text's shingles by 32 bits each, as it is compared."""
+    return np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
+
+def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     for part in common.slices(batches):
         hashes, limits = shingle_hashes(part.column("text"), size)
         bits = pa.array(majority_bits(hashes, limits).view(np.int64))
-        marks, sets = [], []
+        marks, sizes = [], []
         for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
             whole = np.unique(hashes[a:b])
             if len(often) and len(whole):
@@ -179,8 +186,15 @@ def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, o
                 ordered = whole
             # Texts without words meet at 0.
             marks.append(ordered[: prefix_length(len(ordered), similarity)].view(np.int64) if len(whole) else np.zeros(1, np.int64))
-            sets.append(np.unique((whole >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), bits, lists(marks), lists(sets)], names=["doc_id", "text_key", "bits", "marks", "shingles"])
+            sizes.append(len(_narrow(whole)))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), bits, pa.array(sizes, pa.int32()), _lists(marks)], names=["doc_id", "text_key", "bits", "n", "marks"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches):
+        hashes, limits = shingle_hashes(part.column("text"), size)
+        sets = [_narrow(hashes[a:b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([part.column("text_key"), _lists(sets)], names=["text_key", "shingles"])
 
 
 def _keyed(docs: DataFrame) -> Column:
@@ -199,16 +213,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(_alike("a", "b", similarity)).select("u", "v")
 
 
-def grid_pairs(once: DataFrame, shared: common.Shared) -> DataFrame:
+def grid_pairs(marked: DataFrame, shared: common.Shared) -> DataFrame:
     """Pairs (u, v) of text keys that the grid links: one for each text whose fingerprint another text has, and one for each link of fingerprints."""
-    least = shared.put(once.groupBy("bits").agg(F.min("text_key").alias("rep")))
-    same = once.select("text_key", "bits").join(least, "bits").where("text_key <> rep").select(F.col("text_key").alias("u"), F.col("rep").alias("v"))
+    texts = shared.put(marked.select("text_key", "bits").distinct())
+    least = shared.put(texts.groupBy("bits").agg(F.min("text_key").alias("rep")))
+    same = texts.join(least, "bits").where("text_key <> rep").select(F.col("text_key").alias("u"), F.col("rep").alias("v"))
     linked = shared.put(links(least.select("bits")))
     named = linked.join(least.select(F.col("bits").alias("u"), F.col("rep").alias("rep_u")), "u").join(least.select(F.col("bits").alias("v"), F.col("rep").alias("rep_v")), "v")
     return same.union(named.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")))
 
 
-def similar_links(marked: DataFrame, shared: common.Shared, similarity: float) -> DataFrame:
+def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, size: int, similarity: float) -> DataFrame:
     """Links (u, v) of text keys that connect all whose shingle sets reach ``similarity``.
 
     The grid links fingerprints within 2 bits first, and shingle sets verify its
@@ -218,14 +233,19 @@ def similar_links(marked: DataFrame, shared: common.Shared, similarity: float) -
     compared with the first, then with 16 of them, and at last with every one that
     is not yet connected to them.  A text that is linked stays as a partner of the
     others; only pairs in one component are left out.
+
+    Shingle sets are made again, and only of texts that may have a partner.
     """
-    once = shared.put(marked.dropDuplicates(["text_key"]).select("text_key", "bits", "shingles", "marks"))
-    sets = once.select("text_key", "shingles")
-    every = once.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), F.size("shingles").alias("n"))
+    every = marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), "n")
     # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
     several = every.groupBy("mark").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low < high").select("mark")
-    entered = shared.put(every.join(several, "mark", "left_semi"))
-    found = shared.put(_verified(grid_pairs(once, shared), sets, similarity))
+    entered = shared.put(every.join(several, "mark", "left_semi").distinct())
+    pairs = shared.put(grid_pairs(marked, shared))
+    needed = entered.select(F.col("u").alias("text_key")).union(pairs.select("u")).union(pairs.select("v")).distinct()
+    once = named.select("text_key", "text").dropDuplicates(["text_key"])
+    sets = shared.put(once.join(needed, "text_key", "left_semi").mapInArrow(lambda it: _sets(it, size), "text_key long, shingles array<int>"))
+    found = shared.put(_verified(pairs, sets, similarity))
+    shared.drop(pairs)
     place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
     for leaders in (*LEADERS, None):
         # Marks of one component have no more to compare.
@@ -257,9 +277,9 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     shared = common.Shared(docs.sparkSession, "near")
     named = docs.select("doc_id", "text", _keyed(docs).alias("text_key"))
     often = frequent_shingles(named, size)
-    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, marks array<long>, shingles array<int>"))
+    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, marks array<long>"))
     texts = shared.put(marked.groupBy("text_key").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(similar_links(marked, shared, similarity), shared)
+    roots = connected_components(similar_links(named, marked, shared, size, similarity), shared)
     grouped = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "text_key")).alias("first"))
     kept = first.select(F.col("first.least").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
