@@ -65,10 +65,13 @@ class Shared:
         fs.mkdirs(path)
         fs.deleteOnExit(path)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, free: bool = False) -> DataFrame:
+        """With ``free``, the shuffle files behind the table are given up at once; else they stay until the driver happens to collect its garbage."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        if free:
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

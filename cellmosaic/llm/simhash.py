@@ -239,11 +239,11 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
     every = marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), "n")
     # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
     several = every.groupBy("mark").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low < high").select("mark")
-    entered = shared.put(every.join(several, "mark", "left_semi").distinct())
+    entered = shared.put(every.join(several, "mark", "left_semi").distinct(), free=True)
     pairs = shared.put(grid_pairs(marked, shared))
     needed = entered.select(F.col("u").alias("text_key")).union(pairs.select("u")).union(pairs.select("v")).distinct()
     once = named.select("text_key", "text").dropDuplicates(["text_key"])
-    sets = shared.put(once.join(needed, "text_key", "left_semi").mapInArrow(lambda it: _sets(it, size), "text_key long, shingles array<int>"))
+    sets = shared.put(once.join(needed, "text_key", "left_semi").mapInArrow(lambda it: _sets(it, size), "text_key long, shingles array<int>"), free=True)
     found = shared.put(_verified(pairs, sets, similarity))
     shared.drop(pairs)
     place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
@@ -259,8 +259,8 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
         first = first.select("mark", F.col("u").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
         near = F.least("n", "n_v") + F.lit(1e-9) >= F.lit(similarity) * F.greatest("n", "n_v")
         met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & near & (F.col("u") != F.col("v")))
-        pairs = shared.put(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        found = shared.put(found.union(_verified(pairs, sets, similarity)))
+        pairs = shared.put(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), free=True)
+        found = shared.put(found.union(_verified(pairs, sets, similarity)), free=True)
         shared.drop(pairs)
     return found
 
@@ -277,7 +277,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     shared = common.Shared(docs.sparkSession, "near")
     named = docs.select("doc_id", "text", _keyed(docs).alias("text_key"))
     often = frequent_shingles(named, size)
-    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, marks array<long>"))
+    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, marks array<long>"), free=True)
     texts = shared.put(marked.groupBy("text_key").agg(F.min("doc_id").alias("least")))
     roots = connected_components(similar_links(named, marked, shared, size, similarity), shared)
     grouped = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
