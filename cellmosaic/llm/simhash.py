@@ -172,11 +172,26 @@ def _narrow(shingles: np.ndarray) -> np.ndarray:
     return np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
+#: Longs of a text's sketch.
+SKETCH = 8
+_SKETCHES = [f"s{k}" for k in range(SKETCH)]
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Of each of 512 buckets, whether it holds an odd number of the text's shingles.
+
+    Two sketches differ in no more bits than their sets do in shingles, so
+    sketches that differ in too many rule a pair out without its sets.
+    """
+    odd = np.bincount(shingles.view(np.uint32) & np.uint32(64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     for part in common.slices(batches):
         hashes, limits = shingle_hashes(part.column("text"), size)
         bits = pa.array(majority_bits(hashes, limits).view(np.int64))
-        marks, sizes = [], []
+        marks, sizes, sketches = [], [], []
         for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
             whole = np.unique(hashes[a:b])
             if len(often) and len(whole):
@@ -186,8 +201,14 @@ def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, o
                 ordered = whole
             # Texts without words meet at 0.
             marks.append(ordered[: prefix_length(len(ordered), similarity)].view(np.int64) if len(whole) else np.zeros(1, np.int64))
-            sizes.append(len(_narrow(whole)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), bits, pa.array(sizes, pa.int32()), _lists(marks)], names=["doc_id", "text_key", "bits", "n", "marks"])
+            narrow = _narrow(whole)
+            sizes.append(len(narrow))
+            sketches.append(_sketch(narrow))
+        sketch = np.array(sketches, dtype=np.int64).reshape(-1, SKETCH)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("text_key"), bits, pa.array(sizes, pa.int32()), _lists(marks), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH))],
+            names=["doc_id", "text_key", "bits", "n", "marks", *_SKETCHES],
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -206,6 +227,16 @@ def _alike(a: str, b: str, similarity: float) -> Column:
     return both >= similarity * (F.size(a) + F.size(b) - both)
 
 
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) that sketches do not rule out."""
+    side = lambda name, mark: sketches.select(F.col("text_key").alias(name), F.col("n").alias(f"n_{mark}"), *(F.col(x).alias(f"{mark}{x}") for x in _SKETCHES))
+    both = pairs.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v")
+    apart = F.lit(0)
+    for x in _SKETCHES:
+        apart = apart + F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}")))
+    return both.where(apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)).select("u", "v")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (u, v) of text keys whose shingle sets reach ``similarity``."""
     both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u")
@@ -234,7 +265,8 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
     is not yet connected to them.  A text that is linked stays as a partner of the
     others; only pairs in one component are left out.
 
-    Shingle sets are made again, and only of texts that may have a partner.
+    Sketches rule most candidates out.  Shingle sets are made again, and only of
+    texts that may have a partner.
     """
     every = marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), "n")
     # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
@@ -244,7 +276,9 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
     needed = entered.select(F.col("u").alias("text_key")).union(pairs.select("u")).union(pairs.select("v")).distinct()
     once = named.select("text_key", "text").dropDuplicates(["text_key"])
     sets = shared.put(once.join(needed, "text_key", "left_semi").mapInArrow(lambda it: _sets(it, size), "text_key long, shingles array<int>"), free=True)
-    found = shared.put(_verified(pairs, sets, similarity))
+    # Equal texts are one row.
+    sketches = shared.put(marked.groupBy("text_key").agg(F.first("n").alias("n"), *(F.first(x).alias(x) for x in _SKETCHES)), free=True)
+    found = shared.put(_verified(shared.put(_likely(pairs, sketches, similarity)), sets, similarity), free=True)
     shared.drop(pairs)
     place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
     for leaders in (*LEADERS, None):
@@ -260,8 +294,9 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
         near = F.least("n", "n_v") + F.lit(1e-9) >= F.lit(similarity) * F.greatest("n", "n_v")
         met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & near & (F.col("u") != F.col("v")))
         pairs = shared.put(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), free=True)
-        found = shared.put(found.union(_verified(pairs, sets, similarity)), free=True)
-        shared.drop(pairs)
+        likely = shared.put(_likely(pairs, sketches, similarity), free=True)
+        found = shared.put(found.union(_verified(likely, sets, similarity)), free=True)
+        shared.drop(pairs, likely)
     return found
 
 
@@ -277,7 +312,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     shared = common.Shared(docs.sparkSession, "near")
     named = docs.select("doc_id", "text", _keyed(docs).alias("text_key"))
     often = frequent_shingles(named, size)
-    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, marks array<long>"), free=True)
+    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, marks array<long>, " + ", ".join(f"{x} long" for x in _SKETCHES)), free=True)
     texts = shared.put(marked.groupBy("text_key").agg(F.min("doc_id").alias("least")))
     roots = connected_components(similar_links(named, marked, shared, size, similarity), shared)
     grouped = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
