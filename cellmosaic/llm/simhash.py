@@ -237,11 +237,16 @@ def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFra
     return both.where(apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)).select("u", "v")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) of text keys whose shingle sets reach ``similarity``."""
+def _verified(pairs: DataFrame, named: DataFrame, shared: common.Shared, size: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) of text keys whose shingle sets reach ``similarity``; sets are made of the texts in ``pairs`` only."""
+    keys = pairs.select(F.col("u").alias("text_key")).union(pairs.select("v")).distinct()
+    once = named.select("text_key", "text").dropDuplicates(["text_key"])
+    sets = shared.put(once.join(keys, "text_key", "left_semi").mapInArrow(lambda it: _sets(it, size), "text_key long, shingles array<int>"), free=True)
     both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("shingles").alias("a")), "u")
     both = both.join(sets.select(F.col("text_key").alias("v"), F.col("shingles").alias("b")), "v")
-    return both.where(_alike("a", "b", similarity)).select("u", "v")
+    found = shared.put(both.where(_alike("a", "b", similarity)).select("u", "v"), free=True)
+    shared.drop(sets)
+    return found
 
 
 def grid_pairs(marked: DataFrame, shared: common.Shared) -> DataFrame:
@@ -265,21 +270,19 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
     is not yet connected to them.  A text that is linked stays as a partner of the
     others; only pairs in one component are left out.
 
-    Sketches rule most candidates out.  Shingle sets are made again, and only of
-    texts that may have a partner.
+    Sketches rule most candidates out before the shingle sets of the others are
+    made and joined.
     """
     every = marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), "n")
     # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
     several = every.groupBy("mark").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low < high").select("mark")
     entered = shared.put(every.join(several, "mark", "left_semi").distinct(), free=True)
     pairs = shared.put(grid_pairs(marked, shared))
-    needed = entered.select(F.col("u").alias("text_key")).union(pairs.select("u")).union(pairs.select("v")).distinct()
-    once = named.select("text_key", "text").dropDuplicates(["text_key"])
-    sets = shared.put(once.join(needed, "text_key", "left_semi").mapInArrow(lambda it: _sets(it, size), "text_key long, shingles array<int>"), free=True)
     # Equal texts are one row.
     sketches = shared.put(marked.groupBy("text_key").agg(F.first("n").alias("n"), *(F.first(x).alias(x) for x in _SKETCHES)), free=True)
-    found = shared.put(_verified(shared.put(_likely(pairs, sketches, similarity)), sets, similarity), free=True)
-    shared.drop(pairs)
+    likely = shared.put(_likely(pairs, sketches, similarity))
+    found = _verified(likely, named, shared, size, similarity)
+    shared.drop(pairs, likely)
     place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
     for leaders in (*LEADERS, None):
         # Marks of one component have no more to compare.
@@ -295,7 +298,7 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
         met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & near & (F.col("u") != F.col("v")))
         pairs = shared.put(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), free=True)
         likely = shared.put(_likely(pairs, sketches, similarity), free=True)
-        found = shared.put(found.union(_verified(likely, sets, similarity)), free=True)
+        found = found.union(_verified(likely, named, shared, size, similarity))
         shared.drop(pairs, likely)
     return found
 
