@@ -172,19 +172,19 @@ def _narrow(shingles: np.ndarray) -> np.ndarray:
     return np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
-#: Longs of a text's sketch.
-SKETCH = 8
-_SKETCHES = [f"s{k}" for k in range(SKETCH)]
+#: Buckets of the smallest sketch.
+SKETCH = 512
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """Of each of 512 buckets, whether it holds an odd number of the text's shingles.
+def _sketches(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket, whether it holds an odd number of the text's shingles: with about a bucket a shingle, and with half as many.
 
-    Two sketches differ in no more bits than their sets do in shingles, so
-    sketches that differ in too many rule a pair out without its sets.
+    Two sketches of one size differ in no more bits than their sets do in
+    shingles, so sketches that differ in too many rule a pair out without its sets.
     """
-    odd = np.bincount(shingles.view(np.uint32) & np.uint32(64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    buckets = max(SKETCH, 1 << max(len(shingles) - 1, 1).bit_length())
+    odd = np.bincount(shingles.view(np.uint32) & np.uint32(buckets - 1), minlength=buckets).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64), np.packbits(odd[: buckets // 2] ^ odd[buckets // 2 :]).view(np.int64)
 
 
 def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -203,11 +203,10 @@ def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, o
             marks.append(ordered[: prefix_length(len(ordered), similarity)].view(np.int64) if len(whole) else np.zeros(1, np.int64))
             narrow = _narrow(whole)
             sizes.append(len(narrow))
-            sketches.append(_sketch(narrow))
-        sketch = np.array(sketches, dtype=np.int64).reshape(-1, SKETCH)
+            sketches.append(_sketches(narrow))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("text_key"), bits, pa.array(sizes, pa.int32()), _lists(marks), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH))],
-            names=["doc_id", "text_key", "bits", "n", "marks", *_SKETCHES],
+            [part.column("doc_id"), part.column("text_key"), bits, pa.array(sizes, pa.int32()), _lists(marks), *(_lists([x[k] for x in sketches]) for k in range(2))],
+            names=["doc_id", "text_key", "bits", "n", "marks", "sketch", "half"],
         )
 
 
@@ -227,13 +226,18 @@ def _alike(a: str, b: str, similarity: float) -> Column:
     return both >= similarity * (F.size(a) + F.size(b) - both)
 
 
+def _near(n: str, m: str, similarity: float) -> Column:
+    return F.least(n, m) + F.lit(1e-9) >= F.lit(similarity) * F.greatest(n, m)
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) that sketches do not rule out."""
-    side = lambda name, mark: sketches.select(F.col("text_key").alias(name), F.col("n").alias(f"n_{mark}"), *(F.col(x).alias(f"{mark}{x}") for x in _SKETCHES))
-    both = pairs.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v")
-    apart = F.lit(0)
-    for x in _SKETCHES:
-        apart = apart + F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}")))
+    """Those of ``pairs`` (u, v) that sizes and sketches do not rule out."""
+    side = lambda name, mark: sketches.select(F.col("text_key").alias(name), *(F.col(x).alias(f"{x}_{mark}") for x in ("n", "sketch", "half")))
+    both = pairs.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v").where(_near("n_a", "n_b", similarity))
+    # Sizes are near, so one sketch has twice the buckets of the other at most.
+    a = F.when(F.size("sketch_a") <= F.size("sketch_b"), F.col("sketch_a")).otherwise(F.col("half_a"))
+    b = F.when(F.size("sketch_b") <= F.size("sketch_a"), F.col("sketch_b")).otherwise(F.col("half_b"))
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     return both.where(apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)).select("u", "v")
 
 
@@ -279,7 +283,7 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
     entered = shared.put(every.join(several, "mark", "left_semi").distinct(), free=True)
     pairs = shared.put(grid_pairs(marked, shared))
     # Equal texts are one row.
-    sketches = shared.put(marked.groupBy("text_key").agg(F.first("n").alias("n"), *(F.first(x).alias(x) for x in _SKETCHES)), free=True)
+    sketches = shared.put(marked.groupBy("text_key").agg(*(F.first(x).alias(x) for x in ("n", "sketch", "half"))), free=True)
     likely = shared.put(_likely(pairs, sketches, similarity))
     found = _verified(likely, named, shared, size, similarity)
     shared.drop(pairs, likely)
@@ -294,8 +298,7 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
         entered = rest
         first = entered if leaders is None else entered.withColumn("place", place).where(F.col("place") <= leaders)
         first = first.select("mark", F.col("u").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
-        near = F.least("n", "n_v") + F.lit(1e-9) >= F.lit(similarity) * F.greatest("n", "n_v")
-        met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & near & (F.col("u") != F.col("v")))
+        met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & _near("n", "n_v", similarity) & (F.col("u") != F.col("v")))
         pairs = shared.put(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), free=True)
         likely = shared.put(_likely(pairs, sketches, similarity), free=True)
         found = found.union(_verified(likely, named, shared, size, similarity))
@@ -315,7 +318,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     shared = common.Shared(docs.sparkSession, "near")
     named = docs.select("doc_id", "text", _keyed(docs).alias("text_key"))
     often = frequent_shingles(named, size)
-    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, marks array<long>, " + ", ".join(f"{x} long" for x in _SKETCHES)), free=True)
+    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, marks array<long>, sketch array<long>, half array<long>"), free=True)
     texts = shared.put(marked.groupBy("text_key").agg(F.min("doc_id").alias("least")))
     roots = connected_components(similar_links(named, marked, shared, size, similarity), shared)
     grouped = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
