@@ -137,8 +137,10 @@ def components(docs: DataFrame, size: int = 5) -> DataFrame:
 
 #: Of one text in ``SAMPLE``, shingles that at least ``OFTEN`` texts have are put last in the order of prefixes, ``MOST`` of them at most.
 SAMPLE, OFTEN, MOST = 16, 4, 1 << 20
-#: Texts of a group that the others are compared with before all that are still apart are.
-LEADERS = (1, 16)
+#: Texts that share a shingle are compared in blocks of so many on either side.
+BLOCK = 4096
+#: Rows that are compared at a time, unless one group has more.
+_ROWS = 1 << 15
 
 
 def prefix_length(size: int, similarity: float) -> int:
@@ -187,26 +189,33 @@ def _sketches(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(odd).view(np.int64), np.packbits(odd[: buckets // 2] ^ odd[buckets // 2 :]).view(np.int64)
 
 
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    """A sketch of ``SKETCH`` buckets from a larger one."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH // 64), axis=0)
+
+
 def _prefixed(batches: Iterator[pa.RecordBatch], size: int, similarity: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     for part in common.slices(batches):
         hashes, limits = shingle_hashes(part.column("text"), size)
         bits = pa.array(majority_bits(hashes, limits).view(np.int64))
-        marks, sizes, sketches = [], [], []
+        marks, sizes, sketches, shares = [], [], [], []
         for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
             whole = np.unique(hashes[a:b])
             if len(often) and len(whole):
                 last = often[np.minimum(np.searchsorted(often, whole), len(often) - 1)] == whole
                 ordered = np.concatenate([whole[~last], whole[last]])
+                shares.append(1000 * int(last.sum()) // len(whole))
             else:
                 ordered = whole
+                shares.append(0)
             # Texts without words meet at 0.
             marks.append(ordered[: prefix_length(len(ordered), similarity)].view(np.int64) if len(whole) else np.zeros(1, np.int64))
             narrow = _narrow(whole)
             sizes.append(len(narrow))
             sketches.append(_sketches(narrow))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("text_key"), bits, pa.array(sizes, pa.int32()), _lists(marks), *(_lists([x[k] for x in sketches]) for k in range(2))],
-            names=["doc_id", "text_key", "bits", "n", "marks", "sketch", "half"],
+            [part.column("doc_id"), part.column("text_key"), bits, pa.array(sizes, pa.int32()), pa.array(shares, pa.int32()), _lists(marks), *(_lists([x[k] for x in sketches]) for k in range(2)), _lists([_folded(x[0]) for x in sketches])],
+            names=["doc_id", "text_key", "bits", "n", "common", "marks", "sketch", "half", "fold"],
         )
 
 
@@ -263,6 +272,76 @@ def grid_pairs(marked: DataFrame, shared: common.Shared) -> DataFrame:
     return same.union(named.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")))
 
 
+def _compared(group: np.ndarray, u: np.ndarray, n: np.ndarray, root: np.ndarray, own: np.ndarray, fold: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one group that differ in root and, where ``own`` is not -1, in block, and whose sizes and folded sketches do not rule each other out."""
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(heads, len(group)))
+    end = np.repeat(heads + size, size)
+    alive, found = np.arange(len(group)), []
+    for d in range(1, int(size.max(initial=0))):
+        alive = alive[alive + d < end[alive]]
+        j = alive + d
+        fit = (root[alive] != root[j]) & ((own[alive] < 0) | (own[alive] != own[j]))
+        fit &= np.minimum(n[alive], n[j]) + 1e-9 >= similarity * np.maximum(n[alive], n[j])
+        i, j = alive[fit], j[fit]
+        if not len(i):
+            continue
+        apart = np.bitwise_count(fold[i] ^ fold[j]).sum(axis=1, dtype=np.int64)
+        fit = apart <= (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        found.append((i[fit], j[fit]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Candidates of a partition that is sorted by mark and block; no pair of a group leaves it but those that may be alike."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        whole = {name: table.column(name).combine_chunks() for name in table.column_names}
+        u, n, root, own, mark, low, high = (whole[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("u", "n", "root", "own", "mark", "low", "high"))
+        new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        fold = whole["fold"].flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1)
+        i, j = _compared(np.cumsum(new), u, n, root, np.where(low == high, -1, own), fold, similarity)
+        both = np.unique(np.stack([np.maximum(u[i], u[j]), np.minimum(u[i], u[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < _ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = [table.column(x).to_numpy() for x in ("mark", "low", "high")]
+        last = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield pairs(table.slice(0, cut))
+            table = table.slice(cut)
+        held, rows = table.to_batches(), table.num_rows
+    if held:
+        yield pairs(pa.Table.from_batches(held))
+
+
+def _in_blocks(entered: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of ``entered`` (mark, u, n, root) that share a mark, differ in root and may be alike.
+
+    Texts are compared where they meet.  A mark with more than ``BLOCK`` texts is
+    cut into blocks, and each two of its blocks meet in a place of their own.
+    """
+    crowds = entered.groupBy("mark").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > BLOCK).select("mark", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks"))
+    dealt = entered.join(crowds, "mark", "left").withColumn("own", F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    placed = dealt.select("*", other.alias("other")).select("mark", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "u", "n", "root")
+    placed = placed.join(sketches.select(F.col("text_key").alias("u"), "fold"), "u")
+    sorted_ = placed.repartition("mark", "low", "high").sortWithinPartitions("mark", "low", "high")
+    return sorted_.mapInArrow(lambda it: _meet(it, similarity), "u long, v long")
+
+
 def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, size: int, similarity: float) -> DataFrame:
     """Links (u, v) of text keys that connect all whose shingle sets reach ``similarity``.
 
@@ -270,35 +349,37 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
     links; so most copies of a large group hang together before anything else is
     compared.  For the pairs that are further apart in bits, candidates share a
     shingle of their prefixes, so no pair is missed.  Texts that share one are
-    compared with the first, then with 16 of them, and at last with every one that
-    is not yet connected to them.  A text that is linked stays as a partner of the
-    others; only pairs in one component are left out.
+    compared with one of them first, that with the largest share of frequent
+    shingles, as what copies were made from has; and then in blocks with every one
+    that is not yet connected to them.  A text that is linked stays as a partner
+    of the others; only pairs in one component are left out.
 
     Sketches rule most candidates out before the shingle sets of the others are
     made and joined.
     """
-    every = marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), "n")
+    every = marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), "n", "common")
     # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
     several = every.groupBy("mark").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low < high").select("mark")
     entered = shared.put(every.join(several, "mark", "left_semi").distinct(), free=True)
     pairs = shared.put(grid_pairs(marked, shared))
     # Equal texts are one row.
-    sketches = shared.put(marked.groupBy("text_key").agg(*(F.first(x).alias(x) for x in ("n", "sketch", "half"))), free=True)
+    sketches = shared.put(marked.groupBy("text_key").agg(*(F.first(x).alias(x) for x in ("n", "sketch", "half", "fold"))), free=True)
     likely = shared.put(_likely(pairs, sketches, similarity))
     found = _verified(likely, named, shared, size, similarity)
     shared.drop(pairs, likely)
-    place = F.row_number().over(W.partitionBy("mark").orderBy("u"))
-    for leaders in (*LEADERS, None):
+    for in_blocks in (False, True):
         # Marks of one component have no more to compare.
         roots = connected_components(found, shared).select(F.col("node").alias("u"), F.col("root").alias("of"))
-        labelled = shared.put(entered.select("mark", "u", "n").join(roots, "u", "left").select("mark", "u", "n", F.coalesce("of", "u").alias("root")))
+        labelled = shared.put(entered.select("mark", "u", "n", "common").join(roots, "u", "left").select("mark", "u", "n", "common", F.coalesce("of", "u").alias("root")))
         apart = labelled.groupBy("mark").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("mark")
-        rest = shared.put(labelled.join(apart, "mark", "left_semi"))
+        rest = shared.put(labelled.join(apart, "mark", "left_semi"), free=True)
         shared.drop(entered, labelled)
         entered = rest
-        first = entered if leaders is None else entered.withColumn("place", place).where(F.col("place") <= leaders)
-        first = first.select("mark", F.col("u").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
-        met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & _near("n", "n_v", similarity) & (F.col("u") != F.col("v")))
+        if in_blocks:
+            met = _in_blocks(entered, sketches, similarity)
+        else:
+            first = entered.groupBy("mark").agg(F.max(F.struct("common", "u", "n", "root")).alias("first")).select("mark", F.col("first.u").alias("v"), F.col("first.n").alias("n_v"), F.col("first.root").alias("root_v"))
+            met = entered.join(first, "mark").where((F.col("root") != F.col("root_v")) & _near("n", "n_v", similarity) & (F.col("u") != F.col("v")))
         pairs = shared.put(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), free=True)
         likely = shared.put(_likely(pairs, sketches, similarity), free=True)
         found = found.union(_verified(likely, named, shared, size, similarity))
@@ -318,7 +399,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     shared = common.Shared(docs.sparkSession, "near")
     named = docs.select("doc_id", "text", _keyed(docs).alias("text_key"))
     often = frequent_shingles(named, size)
-    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, marks array<long>, sketch array<long>, half array<long>"), free=True)
+    marked = shared.put(named.mapInArrow(lambda it: _prefixed(it, size, similarity, often), "doc_id long, text_key long, bits long, n int, common int, marks array<long>, sketch array<long>, half array<long>, fold array<long>"), free=True)
     texts = shared.put(marked.groupBy("text_key").agg(F.min("doc_id").alias("least")))
     roots = connected_components(similar_links(named, marked, shared, size, similarity), shared)
     grouped = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))

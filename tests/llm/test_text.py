@@ -113,7 +113,9 @@ def _shingles(text):
     return frozenset(" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
 
 
-def test_keep_one(spark, docs, empty):
+@pytest.mark.parametrize("block", [4096, 3])
+def test_keep_one(spark, docs, empty, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     base = [f"v{i * 37 % 1009}" for i in range(300)]
     near = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :] + [f"end{j}" for j in range(5 * k)]) for k in range(12)]
     extra = [(100 + i, t, "en", "a", 1, "clash") for i, t in enumerate(near)] + [(None, near[0], "en", "a", 1, ""), (None, "apart from all of these others", "en", "a", 1, ""), (7, "two of a kind but not alike", "en", "a", 1, "")]
