@@ -1,22 +1,26 @@
 """Suffix-array dedup: bytes inside strings of a fixed length that occur elsewhere.
 
-Every window of ``length`` bytes has a seed: of its substrings of ``SEED`` bytes the
-one with the least hash, the leftmost of equals.  Equal windows have equal seeds
-at equal places, so a window needs to be compared only with windows of its seed.
+Every window of ``length`` bytes has a seed: of its substrings of 40 bytes the one
+with the least hash, the leftmost of equals.  Equal windows have equal seeds at
+equal places, so a window needs to be compared only with windows of its seed.
 Consecutive windows of one seed form a run; what a run covers is its context.
 
 1. Runs are counted by seed and context.  Windows of a context that occurs twice
    are repeated.  Seeds with one context are settled.
-2. For other seeds the contexts, each once, are brought together by seed.  Their
-   suffixes are ordered to the depth of ``length``; where neighbours in suffix
-   order agree that far, the smallest position is the earlier match of all others
-   (the longest previous factor reaches ``length``).
-3. Seeds of more than ``CROWD`` contexts are not brought together: their windows
-   are counted by hash instead, combined before the shuffle.
+2. For other seeds the contexts, each once, are brought together by seed, ``CROWD``
+   or so at a time.  In each block the suffixes are ordered, and the previous and
+   next smaller positions in suffix order give the longest previous factors:
+   windows whose factor reaches ``length`` are later copies.
+3. A seed with more contexts has several blocks.  The windows that are first in
+   their block go on, as strings, and are dealt again by seeds of more bytes,
+   which part what only the short seed had in common.  The last seed is the whole
+   window, so counting settles what is left.
 
 Windows of a run contain its seed, so repeated windows of a run cover one span.
 Null texts count as empty; texts shorter than ``length`` lose nothing.  Repeated
-rows are repeats of each other, whatever their doc_id.
+rows are repeats of each other, whatever their doc_id; with ``keep_first`` one of
+them stays.  Ties between equal ranks go to the smaller key.  A very long text is
+read in pieces that overlap.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellmosaic.llm import common, suffixes
 
 LENGTH = 200
 SEED = 40
-CROWD = 256
+CROWD = 512
 #: Bytes whose suffixes are ordered at a time.
 BLOCK_BYTES = 1 << 19
 #: Bytes whose windows are hashed at a time, however long the text is.
@@ -88,15 +93,15 @@ def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: np.ndarray, limits: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, first, windows, seed, context) of all runs; ``first`` is the byte in the text where the first window starts."""
+def runs(data: np.ndarray, limits: np.ndarray, length: int, bytes_: int = SEED) -> tuple[np.ndarray, ...]:
+    """(text, first, windows, seed, context) of all runs of seeds of ``bytes_``; ``first`` is the byte in the text where the first window starts."""
     out = []
-    width = length - SEED + 1
+    width = length - bytes_ + 1
     for base in range(0, max(len(data) - length + 1, 0), _PIECE):
         part = data[base : base + _PIECE + length - 1]
         h = Hashes(part)
-        n = len(part) - SEED + 1
-        seed = h.of(slice(0, n), slice(SEED, SEED + n))
+        n = len(part) - bytes_ + 1
+        seed = h.of(slice(0, n), slice(bytes_, bytes_ + n))
         packed = ((seed >> np.uint64(25)) << np.uint64(24)).astype(np.int64) | np.arange(n)
         at = least_in_windows(packed, width) & ((1 << 24) - 1)
         text = np.searchsorted(limits, base + np.arange(len(at)), side="right") - 1
@@ -127,6 +132,14 @@ def _emit_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         )
 
 
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """data[start:end] of all, as binary."""
+    limits = np.zeros(len(start) + 1, dtype=np.int32)
+    np.cumsum(end - start, out=limits[1:])
+    at = np.repeat(start - limits[:-1], end - start) + np.arange(limits[-1])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The contexts of the runs ``wanted`` of each text."""
     for part in common.slices(batches, limit=_PIECE):
@@ -137,12 +150,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         text = np.repeat(np.arange(part.num_rows), counts)
         first, windows = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("first", "windows"))
         start = limits[text] + first
-        blob = data.tobytes()
-        strings = [blob[a:b] for a, b in zip(start.tolist(), (start + windows + length - 1).tolist())]
         take = pa.array(text)
         yield pa.RecordBatch.from_arrays(
-            [part.column("key").take(take), part.column("rank").take(take), flat.field("first"), flat.field("windows"), flat.field("seed"), flat.field("twice"), pa.array(strings, pa.binary())],
-            names=["key", "rank", "first", "windows", "seed", "twice", "context"],
+            [part.column("key").take(take), part.column("rank").take(take), flat.field("first"), flat.field("seed"), flat.field("part"), flat.field("parts"), _strings(data, start, start + windows + length - 1)],
+            names=["key", "rank", "first", "seed", "part", "parts", "context"],
         )
 
 
@@ -153,71 +164,108 @@ def repeated_starts(strings: list[bytes], length: int) -> tuple[np.ndarray, np.n
     data = np.frombuffer(b"".join(strings), dtype=np.uint8)
     end = np.repeat(limits[1:], np.diff(limits))
     later, anywhere = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
-    _, ranks, _ = suffixes.suffix_order(data, end, depth=length)
-    whole = np.flatnonzero(np.arange(len(data)) + length <= end)
-    if not len(whole):
+    if not len(data):
+        return limits, later, anywhere
+    order, ranks, _ = suffixes.suffix_order(data, end)
+    # Suffixes that share fewer symbols than the largest power of two up to ``length`` have no factor of that length.
+    level = length.bit_length() - 1
+    if len(ranks) <= level:
         return limits, later, anywhere
-    level = min(length.bit_length() - 1, len(ranks) - 1)
-    if 1 << level > length or len(ranks) < length.bit_length():
-        return limits, later, anywhere  # all suffixes differ before that depth
-    same = ranks[level][whole] * (len(data) + 1) + ranks[level][whole + length - (1 << level)]
-    order = np.argsort(same, kind="stable")
-    s, at = same[order], whole[order]
-    head = np.ones(len(s), dtype=bool)
-    head[1:] = s[1:] != s[:-1]
-    size = np.diff(np.append(np.flatnonzero(head), len(s)))
-    later[at[~head]] = True  # positions ascend within equal keys, so the head is the earliest
-    anywhere[at[np.repeat(size > 1, size)]] = True
+    shared = ranks[level][order]
+    near = np.concatenate([[False], shared[1:] == shared[:-1]])
+    near[:-1] |= near[1:]
+    order = order[near]
+    longest, source = suffixes.previous_factors(order, end, ranks)
+    full = longest >= length
+    later[order[full]] = True
+    # A first copy is the neighbour in suffix order of a later one.
+    between = suffixes.common_prefix(order[:-1], order[1:], end, ranks) >= length
+    anywhere[order[:-1][between]] = True
+    anywhere[order[1:][between]] = True
     return limits, later, anywhere
 
 
+def _ranges(where: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first, last) of maximal runs of consecutive places inside strings."""
+    if not len(where):
+        return where, where, where
+    owner = np.searchsorted(limits, where, side="right") - 1
+    new = np.ones(len(where), dtype=bool)
+    new[1:] = (where[1:] != where[:-1] + 1) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(new)
+    return owner[heads], where[heads], where[np.append(heads[1:], len(where)) - 1]
+
+
+_SETTLED = "key long, rank long, start long, stop long, context binary"
+
+
 def _settle(batches: Iterator[pa.RecordBatch], length: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
-    """Spans of the runs of a partition that is sorted by seed, rank, key and first."""
+    """Of a partition that is sorted by seed, part, rank, key and first: the spans of repeated windows, and the strings of first windows of blocks that have others of their seed."""
     rows: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        limits, later, anywhere = repeated_starts([r[5] for r in rows], length)
-        hit = later if keep_first else anywhere
-        where = np.flatnonzero(hit)
-        lo, hi = np.searchsorted(where, limits[:-1]), np.searchsorted(where, limits[1:])
-        some = np.flatnonzero(hi > lo)
-        first = np.array([rows[i][2] for i in some.tolist()], dtype=np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in some.tolist()], pa.int64()), pa.array(first + where[lo[some]] - limits[some]), pa.array(first + where[hi[some] - 1] - limits[some] + length)],
-            names=["key", "start", "stop"],
-        )
+        strings = [r[3] for r in rows]
+        limits, later, anywhere = repeated_starts(strings, length)
+        data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        key, rank, first = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+        owner, a, b = _ranges(np.flatnonzero(later if keep_first else anywhere), limits)
+        starts = ~later
+        starts &= np.arange(len(data)) + length <= np.repeat(limits[1:], np.diff(limits))
+        starts &= np.repeat(np.array([r[5] > 1 for r in rows]), np.diff(limits))
+        onward, c, d = _ranges(np.flatnonzero(starts), limits)
+        both = np.concatenate([owner, onward])
+        begin, last = np.concatenate([a, c]), np.concatenate([b, d])
+        shift = first[both] - limits[both]
+        lengths = np.concatenate([np.zeros(len(owner), np.int64), d - c + length])
+        context = _strings(data, begin, begin + lengths)
+        return pa.RecordBatch.from_arrays([pa.array(key[both]), pa.array(rank[both]), pa.array(begin + shift), pa.array(last + shift + length), context], names=["key", "rank", "start", "stop", "context"])
 
     for batch in batches:
-        for row in zip(*(batch.column(x).to_pylist() for x in ("key", "rank", "first", "seed", "twice", "context"))):
-            if size >= BLOCK_BYTES and row[3] != rows[-1][3]:
+        for row in zip(*(batch.column(x).to_pylist() for x in ("key", "rank", "first", "context", "seed", "parts", "part"))):
+            if rows and row[4] == rows[-1][4] and row[6] == rows[-1][6] and row[:3] == rows[-1][:3]:
+                continue  # a row that comes twice
+            # Parts of one seed are ordered each for itself.
+            if rows and (row[4] == rows[-1][4] and row[6] != rows[-1][6] or size >= BLOCK_BYTES and row[4] != rows[-1][4]):
                 yield flush()
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[5])
+            size += len(row[3])
     if rows:
         yield flush()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every window of crowded seeds by its hash."""
-    for batch in common.slices(batches, "context", _PIECE >> 1):
-        data, limits = common.text_bytes(batch.column("context"))
-        if not len(data):
-            continue
-        windows = batch.column("windows").to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(batch.num_rows), windows)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        start = limits[row] + offset
-        h = Hashes(data)
+def _emit_again(batches: Iterator[pa.RecordBatch], length: int, bytes_: int) -> Iterator[pa.RecordBatch]:
+    """The runs of strings by longer seeds, with their contexts."""
+    for part in common.slices(batches, "context", _PIECE):
+        data, limits = common.text_bytes(part.column("context"))
+        row, first, count, seed, context = runs(data, limits, length, bytes_)
+        start = limits[row] + first
         take = pa.array(row)
-        first = batch.column("first").to_numpy(zero_copy_only=False).astype(np.int64)
+        base = part.column("start").to_numpy(zero_copy_only=False).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key").take(take), batch.column("rank").take(take), batch.column("seed").take(take), batch.column("twice").take(take), pa.array(first[row] + offset), pa.array(h.of(start, start + length).view(np.int64))],
-            names=["key", "rank", "seed", "twice", "start", "window"],
+            [part.column("key").take(take), part.column("rank").take(take), pa.array(base[row] + first), pa.array(count.astype(np.int32)), pa.array(seed), pa.array(context), _strings(data, start, start + count + length - 1)],
+            names=["key", "rank", "first", "windows", "seed", "context", "string"],
         )
 
 
+def _folded(found: DataFrame, shared: common.Shared, length: int, keep_first: bool, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(spans, runs): of ``found`` the spans that counting settles, and the runs that others of their seed have to be compared with, each context once, with its ``part`` of ``parts``."""
+    order = F.struct("rank", "key", "first")
+    contexts = found.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"))
+    seeds = contexts.groupBy("seed").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("contexts")).where("all > 1")
+    marked = contexts.join(seeds, "seed").select("seed", "context", "n", "least", "contexts")
+    known = found.join(marked, ["seed", "context"])
+    parts = F.ceil(F.col("contexts") / CROWD).cast("int")
+    copies = known.select(
+        "key", "rank", "first", "windows", "seed", (F.col("n") > 1).alias("twice"), order.eqNullSafe(F.col("least")).alias("leads"), (F.col("contexts") > 1).alias("mixed"),
+        parts.alias("parts"), F.pmod(F.xxhash64("context"), parts.cast("long")).cast("int").alias("part"), *extra,
+    )
+    copies = shared.put(copies, free=True)
+    settled = copies.where("twice AND NOT leads" if keep_first else "twice").select("key", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + F.lit(length - 1)).cast("long").alias("stop"))
+    return settled, copies.where("mixed AND leads")
+
+
 def repeated_spans(rows: DataFrame, shared: common.Shared, *, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
     """(key, spans) of ``rows`` (key, rank, text): in each text the bytes [start, stop) of repeated strings of ``length`` bytes.
 
@@ -227,33 +275,28 @@ def repeated_spans(rows: DataFrame, shared: common.Shared, *, length: int = LENG
         raise ValueError(f"length must be {2 * SEED} or more")
     runs_schema = "key long, rank long, first int, windows int, seed long, context long"
     found = shared.put(rows.select("key", "rank", "text").mapInArrow(lambda it: _emit_runs(it, length), runs_schema))
-    order = F.struct("rank", "key", "first")
-    contexts = found.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"))
-    seeds = contexts.groupBy("seed").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("contexts")).where("all > 1")
-    marked = contexts.join(seeds, "seed").select("seed", "context", "n", "least", "contexts")
-    known = found.join(marked, ["seed", "context"])
-    is_least = order.eqNullSafe(F.col("least"))
-    copies = shared.put(known.select("key", "rank", "first", "windows", "seed", (F.col("n") > 1).alias("twice"), is_least.alias("leads"), (F.col("contexts") > CROWD).alias("crowded"), (F.col("contexts") > 1).alias("mixed")))
+    settled, apart = _folded(found, shared, length, keep_first)
     shared.drop(found)
-    settled = copies.where("twice AND NOT leads" if keep_first else "twice").select("key", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + F.lit(length - 1)).cast("long").alias("stop"))
-    wanted = copies.where("mixed AND (leads OR NOT twice)").groupBy("key").agg(F.collect_list(F.struct("first", "windows", "seed", "twice", "crowded")).alias("wanted"))
-    context_schema = "key long, rank long, first int, windows int, seed long, twice boolean, context binary"
-    text = rows.select("key", "rank", "text")
-
-    def with_context(crowded: str) -> DataFrame:
-        mine = wanted.select("key", F.expr(f"filter(wanted, x -> {crowded})").alias("wanted")).where("size(wanted) > 0")
-        return text.join(mine, "key").select("key", "rank", "text", "wanted").mapInArrow(lambda it: _contexts(it, length), context_schema)
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = with_context("NOT x.crowded").repartition(n, "seed").sortWithinPartitions("seed", "rank", "key", "first")
-    spans = [settled, ordered.mapInArrow(lambda it: _settle(it, length, keep_first), "key long, start long, stop long")]
-    if copies.where("crowded").limit(1).count():
-        each = shared.put(with_context("x.crowded").mapInArrow(lambda it: _windows(it, length), "key long, rank long, seed long, twice boolean, start long, window long"))
-        counted = each.groupBy("seed", "window").agg((F.count(F.lit(1)) + F.max(F.col("twice").cast("long"))).alias("n"), F.min(F.struct("rank", "key", "start")).alias("least")).where("n > 1")
-        hit = each.join(counted, ["seed", "window"])
-        if keep_first:
-            hit = hit.where(~F.struct("rank", "key", "start").eqNullSafe(F.col("least")))
-        spans.append(hit.select("key", "start", (F.col("start") + length).alias("stop")))
+    spans = [settled]
+    wanted = apart.groupBy("key").agg(F.collect_list(F.struct("first", "windows", "seed", "part", "parts")).alias("wanted"))
+    with_text = rows.select("key", "rank", "text").join(wanted, "key").select("key", "rank", "text", "wanted")
+    strings = with_text.mapInArrow(lambda it: _contexts(it, length), "key long, rank long, first int, seed long, part int, parts int, context binary")
+    # Seeds of more and more bytes, up to the whole window.
+    longer = sorted({min(length, SEED + (length - SEED) * k // 4) for k in range(1, 5)})
+    for k, bytes_ in enumerate([*longer, None]):
+        ordered = strings.repartition("seed", "part").sortWithinPartitions("seed", "part", "rank", "key", "first")
+        done = shared.put(ordered.mapInArrow(lambda it: _settle(it, length, keep_first), _SETTLED), free=True)
+        spans.append(done.where("length(context) = 0").select("key", "start", "stop"))
+        onward = done.where("length(context) > 0").select("key", "rank", "start", "context")
+        if bytes_ is None or not onward.limit(1).count():
+            break
+        again = shared.put(onward.mapInArrow(lambda it, b=bytes_: _emit_again(it, length, b), "key long, rank long, first long, windows int, seed long, context long, string binary"))
+        settled, apart = _folded(again, shared, length, keep_first, ("string",))
+        shared.drop(again)
+        spans.append(settled)
+        if bytes_ == length:
+            break  # a seed has one context
+        strings = apart.select("key", "rank", "first", "seed", "part", "parts", F.col("string").alias("context"))
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)
@@ -298,9 +341,18 @@ def _cut(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.Record
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_first: bool = True, digests: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``kept`` are the bytes left over, or their SHA-256."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``kept`` are the bytes left over, or their SHA-256.
+
+    With ``keep_first``, of rows that agree in doc_id and text one is the first,
+    and the others lose all bytes if they have ``length`` or more.
+    """
     shared = common.Shared(docs.sparkSession, "repeats")
     rows = keyed(docs)
     spans = repeated_spans(rows, shared, length=length, keep_first=keep_first)
-    joined = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, "key", "left").select("key", "doc_id", "text", "spans")
+    if keep_first:
+        size = F.octet_length("text").cast("long")
+        again = (F.row_number().over(W.partitionBy("key").orderBy("key")) > 1) & (size >= length)
+        joined = joined.withColumn("spans", F.when(again, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop")))).otherwise(F.col("spans")))
+    joined = joined.select("doc_id", "text", "spans")
     return joined.mapInArrow(lambda it: _cut(it, digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}")

@@ -90,3 +90,37 @@ def common_prefix(a: np.ndarray, b: np.ndarray, end: np.ndarray, ranks: list[np.
         length += equal.astype(np.int64) << k
     return length
 
+
+
+def smaller_neighbours(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place in ``a``, the nearest place before and the nearest behind that has a smaller value; -1 where there is none.
+
+    Every place points to its neighbour and follows the pointers of what is not
+    smaller, all places at once; what lies between is known not to be smaller.
+    """
+    def before(x: np.ndarray) -> np.ndarray:
+        to = np.arange(-1, len(x) - 1)
+        open_ = np.flatnonzero(to >= 0)
+        while len(open_):
+            at = to[open_]
+            open_ = open_[x[at] > x[open_]]
+            to[open_] = to[to[open_]]
+            open_ = open_[to[open_] >= 0]
+        return to
+
+    behind = len(a) - 1 - before(a[::-1])[::-1]
+    return before(a), np.where(behind < len(a), behind, -1)
+
+
+def previous_factors(order: np.ndarray, end: np.ndarray, ranks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(longest, earlier): of each position of ``order``, in that order, the longest factor that also starts at an earlier position, and that position or -1.
+
+    The earlier match that is longest is one of the two nearest smaller positions
+    in suffix order.
+    """
+    if not len(order):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    low, high = smaller_neighbours(order)
+    left, right = np.where(low >= 0, order[low], -1), np.where(high >= 0, order[high], -1)
+    a, b = common_prefix(order, left, end, ranks), common_prefix(order, right, end, ranks)
+    return np.maximum(a, b), np.where(a >= b, left, right)

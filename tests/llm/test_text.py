@@ -72,21 +72,79 @@ def test_bpe(docs, empty):
     assert back[3].text == "one</w>" and bpe.token_digests(empty, queries.tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [256, 1])
-def test_repeats(docs, empty, crowd, monkeypatch):
-    monkeypatch.setattr(repeat_spans, "CROWD", crowd)
-    got, n = by_id(repeat_spans.remove_repeats(docs, keep_first=False, digests=True)), 200
-    raw = [(t or "").encode() for t in TEXTS]
+def _brute_repeats(texts, n, keep_first=False):
+    """(n_bytes, n_removed, n_spans, kept) of each text; the first copy stays with ``keep_first``, texts being in order."""
+    raw = [(t or "").encode() for t in texts]
     starts = Counter(x[k : k + n] for x in raw for k in range(len(x) - n + 1))
-    for i, x in enumerate(raw):
+    seen, out = set(), []
+    for x in raw:
         gone = bytearray(len(x))
         for k in range(len(x) - n + 1):
-            if starts[x[k : k + n]] > 1:
+            w = x[k : k + n]
+            if w in seen if keep_first else starts[w] > 1:
                 gone[k : k + n] = b"\x01" * n
+            seen.add(w)
         kept = bytes(b for b, g in zip(x, gone) if not g)
-        assert (got[i].n_bytes, got[i].n_removed, got[i].kept) == (len(x), sum(gone), hashlib.sha256(kept).hexdigest())
-    first = by_id(repeat_spans.remove_repeats(docs))
-    assert first[7].n_removed < first[8].n_removed and repeat_spans.remove_repeats(empty).count() == 0
+        out.append((len(x), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def _shuffled_passages():
+    # Passages of 150 to 350 bytes in ever other surroundings, near copies and periodic texts: seeds with many contexts.
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    base = [" ".join(word() for _ in range(k)) for k in (28, 40, 60)]
+    out = [" ".join([word() for _ in range(r.randint(0, 30))] + [base[i % 3]] + [word() for _ in range(r.randint(0, 30))]) for i in range(60)]
+    near = [word() for _ in range(120)]
+    for _ in range(40):
+        copy = list(near)
+        copy[r.randrange(120)] = word()
+        out.append(" ".join(copy))
+    return [*out, "ab" * 400, "ab" * 150, "abc" * 300, base[2] * 3]
+
+
+@pytest.mark.parametrize("crowd", [512, 7, 1])
+def test_repeats(docs, empty, spark, crowd, monkeypatch):
+    monkeypatch.setattr(repeat_spans, "CROWD", crowd)
+    got = by_id(repeat_spans.remove_repeats(docs, keep_first=False, digests=True))
+    for i, want in enumerate(_brute_repeats(TEXTS, 200)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept) == want
+    texts = _shuffled_passages()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for keep_first in (False, True):
+        got = by_id(repeat_spans.remove_repeats(frame, keep_first=keep_first, digests=True))
+        for i, want in enumerate(_brute_repeats(texts, 200, keep_first)):
+            assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept) == want
+    assert repeat_spans.remove_repeats(empty).count() == 0
+
+
+def test_repeats_of_equal_rows(spark):
+    rows = [(1, PASSAGE), (1, PASSAGE), (3, PASSAGE), (None, PASSAGE), (None, "short"), (None, "short")]
+    got = repeat_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    n, first = len(PASSAGE), [r[1] for r in _brute_repeats([PASSAGE], 200, True)][0]
+    # A null id ranks as 0; of the two rows with id 1 neither is first.
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got if r.n_bytes == n) == [(0, first), (1, n), (1, n), (3, n)]
+    assert all(r.n_removed == 0 for r in got if r.n_bytes != n)
+    got = repeat_spans.remove_repeats(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == sorted([first, n])
+
+
+def test_longest_previous_factors():
+    import numpy as np
+
+    from cellmosaic.llm import suffixes
+
+    for text in (b"abracadabra", b"aaaaaaa", b"mississippi", b"", b"x"):
+        data, end = np.frombuffer(text, dtype=np.uint8), np.full(len(text), len(text))
+        if not len(data):
+            continue
+        order, ranks, _ = suffixes.suffix_order(data, end)
+        longest, source = suffixes.previous_factors(order, end, ranks)
+        for at, n, j in zip(order.tolist(), longest.tolist(), source.tolist()):
+            want = max((k for i in range(at) for k in range(len(text) - at + 1) if text[i : i + k] == text[at : at + k]), default=0)
+            assert n == want and (n == 0 or (j < at and text[j : j + n] == text[at : at + n]))
 
 
 def test_simhash(docs, empty):
