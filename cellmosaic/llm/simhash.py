@@ -286,7 +286,7 @@ def _compared(group: np.ndarray, u: np.ndarray, n: np.ndarray, root: np.ndarray,
         i, j = alive[fit], j[fit]
         if not len(i):
             continue
-        apart = np.bitwise_count(fold[i] ^ fold[j]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(fold[i] ^ fold[j]).sum(axis=1, dtype=np.int64)  # of unsigned numbers: of others numpy counts the absolute value's bits
         fit = apart <= (n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
         found.append((i[fit], j[fit]))
     if not found:
@@ -303,7 +303,7 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
         whole = {name: table.column(name).combine_chunks() for name in table.column_names}
         u, n, root, own, mark, low, high = (whole[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("u", "n", "root", "own", "mark", "low", "high"))
         new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        fold = whole["fold"].flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1)
+        fold = whole["fold"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(u), -1)
         i, j = _compared(np.cumsum(new), u, n, root, np.where(low == high, -1, own), fold, similarity)
         both = np.unique(np.stack([np.maximum(u[i], u[j]), np.minimum(u[i], u[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
