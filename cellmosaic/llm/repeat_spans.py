@@ -275,8 +275,12 @@ def repeated_spans(rows: DataFrame, shared: common.Shared, *, length: int = LENG
         raise ValueError(f"length must be {2 * SEED} or more")
     runs_schema = "key long, rank long, first int, windows int, seed long, context long"
     found = shared.put(rows.select("key", "rank", "text").mapInArrow(lambda it: _emit_runs(it, length), runs_schema))
-    settled, apart = _folded(found, shared, length, keep_first)
+    # Most seeds stand once; the others' runs are less than half of all.
+    several = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    live = shared.put(found.join(several, "seed", "left_semi"), free=True)
     shared.drop(found)
+    settled, apart = _folded(live, shared, length, keep_first)
+    shared.drop(live)
     spans = [settled]
     wanted = apart.groupBy("key").agg(F.collect_list(F.struct("first", "windows", "seed", "part", "parts")).alias("wanted"))
     with_text = rows.select("key", "rank", "text").join(wanted, "key").select("key", "rank", "text", "wanted")
