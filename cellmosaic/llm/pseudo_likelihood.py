@@ -1,26 +1,27 @@
 """LM scoring by masked pseudo-likelihood.
 
-Words, in lower case, are counted in a distributed table with the groups of
-contexts that they stand in.  In descending order of count they are cut into
-classes of about equal mass; the number of classes and the size of the network
-grow with the vocabulary.  A small network reads the two words on either side of
-a masked one and predicts its class; a word that fills a class is predicted by
-it alone.  Inside a class the word follows its counts in its own group of
-contexts, smoothed by its counts in all of them (a Dirichlet prior of one count
-a word).  Both factors sum to one, over classes and over the words of a class.
-
-The words that a block of texts has come back to it by block, with their class
-and counts, so no task holds the vocabulary.  Texts are then written as classes
-and buckets of context.  Every partition trains a copy of the network from the
-same start, on all its words; the copies are averaged by their words.  Sums are
-whole numbers, so their order does not matter.  The score of a text is the sum
-of the log-probabilities of all its words, each given both sides.
-
-Approximate are the reading of the context (neighbours are hashed to buckets for
-the network and to ``SIDES`` groups a side for the counts) and the averaging of
-copies.  Words themselves are never hashed together.  Null and empty texts have
-no words and score 0.  A word that the model has not seen counts as one that
-stands once in the rarest class.
+Words, in lower case, are counted in a distributed table.  They are the leaves'
+content of a tree of two levels: words that are common enough have a leaf of
+their own, the others share leaves by their last two letters, and leaves have
+about equal mass.  The tree, the network and its buckets of context grow with
+the vocabulary.  A small network reads the two words on either side of a masked
+one and predicts its branch and then its leaf; inside its leaf a word has its
+share of the leaf's counts.  All three factors sum to one.
+
+Texts are dealt into blocks.  The distinct words of a block come back to it with
+their counts, so no task holds the vocabulary.  Every partition trains a copy of
+the network from the same start, on all its words, and the copies are averaged
+by their words; that is done ``ROUNDS`` times, each from the last average.  Sums
+are whole numbers, so their order does not matter.  The score of a text is the
+sum of the log-probabilities of all its words, each given both sides.
+
+Approximate are the reading of the context (neighbours are hashed to buckets),
+the choice inside a leaf, which the context does not change, and the averaging
+of copies, through which scores depend on how the table is partitioned.  Words
+themselves are never hashed together.  Null and empty texts have no words and
+score 0.  A word that the model has not seen counts as one that stands once in
+its leaf.  Repeated rows get equal scores if they are in one block.  A very long
+text is a block of its own.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,39 +39,79 @@ from pyspark.sql import functions as F
 
 from cellmosaic.llm import common
 
-WIDTH, SIDE, SIDES = 12, 2, 4
+WIDTH, SIDE, ROUNDS = 12, 2, 2
 BATCH, RATE, SEED = 4096, 0.5, 7
-#: Bytes of text of a block, and of coded words that are handled at a time.
-BLOCK_BYTES, CODED_BYTES = 8 << 20, 1 << 18
+#: Bytes of text of a block.
+BLOCK_BYTES = 8 << 20
 _FIXED = float(1 << 16)
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
-_KEYS = SIDES * SIDES
-_COUNTS = [f"c{k}" for k in range(_KEYS)]
 
 
 def sizes_for(words: int) -> tuple[int, int]:
-    """Classes and buckets of context for a vocabulary."""
-    return max(16, round(2 * words**0.25)), 1 << max(12, int(8 * words**0.5 - 1).bit_length())
+    """Branches (and leaves of each) of the tree, and buckets of context, for a vocabulary."""
+    return max(8, round(4 * words**0.125)), 1 << max(12, int(8 * words**0.5 - 1).bit_length())
+
+
+@dataclass
+class Tree:
+    """``own`` are the words that have a leaf, ``own_leaf`` their leaves, ``leaf`` the leaves by bucket of ending, ``mass`` the count of each leaf's words and one more for unseen ones."""
+
+    width: int
+    own: pa.Array
+    own_leaf: np.ndarray
+    leaf: np.ndarray
+    mass: np.ndarray
+
+    def of(self, distinct: pa.Array) -> np.ndarray:
+        """The leaf of each word."""
+        if not len(distinct):
+            return np.zeros(0, dtype=np.int32)
+        endings = pc.utf8_slice_codeunits(distinct, start=-2).dictionary_encode()
+        bucket = np.array([zlib.crc32(x.encode()) for x in endings.dictionary.to_pylist()], dtype=np.int64) % len(self.leaf)
+        out = self.leaf[bucket][endings.indices.to_numpy(zero_copy_only=False)]
+        if len(self.own):
+            at = pc.fill_null(pc.index_in(distinct, value_set=self.own), -1).to_numpy(zero_copy_only=False)
+            out = np.where(at >= 0, self.own_leaf[at], out)
+        return out
+
+
+def grow_tree(own: list[tuple[str, int]], endings: list[tuple[int, str, int]], width: int, buckets: int) -> Tree:
+    """From (word, count) and (bucket, ending, count); units in order of count and of ending are cut into leaves of about equal mass."""
+    own, endings = sorted(own, key=lambda x: (-x[1], x[0])), sorted(endings, key=lambda x: (x[1], x[0]))
+    counts = np.array([x[1] for x in own] + [x[2] for x in endings], dtype=np.float64)
+    leaves = width * width
+    middle = np.cumsum(counts) - counts / 2
+    place = np.minimum((leaves * middle / max(counts.sum(), 1.0)).astype(np.int64), leaves - 1)
+    table = np.full(buckets, leaves - 1, dtype=np.int32)
+    for (bucket, _, _), x in zip(endings, place[len(own) :].tolist()):
+        table[bucket] = x
+    mass = np.bincount(place, weights=counts, minlength=leaves) + 1
+    return Tree(width, pa.array([x[0] for x in own], pa.large_string()), place[: len(own)].astype(np.int32), table, mass)
 
 
 @dataclass
 class Network:
-    """``embed`` has a last row for what lies beyond a text."""
+    """``embed`` has a last row for what lies beyond a text; ``out`` and ``bias`` are of the branches, ``leaf_out`` and ``leaf_bias`` of each branch's leaves."""
 
     embed: np.ndarray
     mix: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    leaf_out: np.ndarray
+    leaf_bias: np.ndarray
 
     @staticmethod
-    def start(mass: np.ndarray, buckets: int) -> Network:
-        """At the start classes have their ``mass`` in the corpus."""
+    def start(mass: np.ndarray, width: int, buckets: int) -> Network:
+        """At the start branches and leaves have their ``mass`` in the corpus, whatever the context."""
         r = np.random.default_rng(SEED)
-        bias = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
-        return Network(r.normal(0, 0.3, (buckets + 1, WIDTH)).astype(np.float32), np.ones((len(_OFFSETS), WIDTH), np.float32), r.normal(0, 0.3, (WIDTH, len(mass))).astype(np.float32), bias)
+        square = mass.reshape(width, width)
+        normal = lambda scale, *shape: r.normal(0, scale, shape).astype(np.float32)
+        branch = np.log(square.sum(axis=1) / square.sum()).astype(np.float32)
+        leaf = np.log(square / square.sum(axis=1, keepdims=True)).astype(np.float32)
+        return Network(normal(0.3, buckets + 1, WIDTH), np.ones((len(_OFFSETS), WIDTH), np.float32), np.zeros((WIDTH, width), np.float32), branch, np.zeros((width, WIDTH, width), np.float32), leaf)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.mix, self.out, self.bias]
+        return [self.embed, self.mix, self.out, self.bias, self.leaf_out, self.leaf_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -80,31 +121,62 @@ class Network:
         cuts = np.cumsum([p.size for p in self.parts()])
         return Network(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(values, cuts[:-1]), self.parts())))
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = self.embed[context]
-        hidden = np.tanh((seen * self.mix).sum(axis=1))
-        logits = hidden @ self.out + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return seen, hidden, logits
-
-    def train(self, context: np.ndarray, target: np.ndarray) -> None:
+        return seen, np.tanh(np.einsum("now,ow->nw", seen, self.mix))
+
+    def log_probabilities(self, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of each leaf given its context."""
+        width, out = len(self.bias), np.zeros(len(leaf))
+        for i in range(0, len(leaf), BATCH):
+            _, h = self.hidden(context[i : i + BATCH])
+            branch, inner = np.divmod(leaf[i : i + BATCH], width)
+            total = _log_softmax(h @ self.out + self.bias)[np.arange(len(h)), branch]
+            for b, rows in _grouped(branch):
+                total[rows] += _log_softmax(h[rows] @ self.leaf_out[b] + self.leaf_bias[b])[np.arange(len(rows)), inner[rows]]
+            out[i : i + BATCH] = total
+        return out
+
+    def train(self, context: np.ndarray, leaf: np.ndarray) -> None:
         """One step of gradient descent on the mean loss of a batch."""
-        n = len(target)
-        seen, hidden, logits = self.forward(context)
-        grad = np.exp(logits)
-        grad /= grad.sum(axis=1, keepdims=True)
-        grad[np.arange(n), target] -= 1
+        n, width = len(leaf), len(self.bias)
+        seen, h = self.hidden(context)
+        branch, inner = np.divmod(leaf, width)
+        grad = np.exp(_log_softmax(h @ self.out + self.bias))
+        grad[np.arange(n), branch] -= 1
         grad *= RATE / n
-        back = (grad @ self.out.T) * (1 - hidden * hidden)
-        self.out -= hidden.T @ grad
+        back = grad @ self.out.T
+        self.out -= h.T @ grad
         self.bias -= grad.sum(axis=0)
-        # Rows are rare: their step is not divided by the whole batch.
+        for b, rows in _grouped(branch):
+            part = np.exp(_log_softmax(h[rows] @ self.leaf_out[b] + self.leaf_bias[b]))
+            part[np.arange(len(rows)), inner[rows]] -= 1
+            part *= RATE / n
+            back[rows] += part @ self.leaf_out[b].T
+            # A branch sees a share of the batch only.
+            self.leaf_out[b] -= (h[rows].T @ part) * np.float32(min(width, 8))
+            self.leaf_bias[b] -= part.sum(axis=0)
+        back *= 1 - h * h
         spread = back[:, None, :] * self.mix
-        self.mix -= (back[:, None, :] * seen).sum(axis=0)
-        rows = context.ravel()
-        steps = spread.reshape(-1, WIDTH) * np.float32(16)
-        for d in range(WIDTH):
-            self.embed[:, d] -= np.bincount(rows, weights=steps[:, d], minlength=len(self.embed)).astype(np.float32)
+        self.mix -= np.einsum("nw,now->ow", back, seen)
+        # Rows are rare: their step is not divided by the whole batch.
+        rows, steps = context.ravel(), spread.reshape(-1, WIDTH) * np.float32(16)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        self.embed[rows[heads]] -= np.add.reduceat(steps[order], heads, axis=0)
+
+
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(axis=1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+
+def _grouped(branch: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(branch, rows) of those that occur."""
+    order = np.argsort(branch, kind="stable")
+    ends = np.flatnonzero(np.diff(branch[order])) + 1
+    return [(int(branch[rows[0]]), rows) for rows in np.split(order, ends) if len(rows)]
 
 
 def contexts_of(bucket: np.ndarray, first: np.ndarray, beyond: int) -> np.ndarray:
@@ -117,31 +189,21 @@ def contexts_of(bucket: np.ndarray, first: np.ndarray, beyond: int) -> np.ndarra
     return np.stack([padded[place + o] for o in _OFFSETS], axis=1) if len(bucket) else np.zeros((0, len(_OFFSETS)), np.int32)
 
 
-@dataclass
-class Coded:
-    """The words of a block: ``code`` numbers ``distinct``, ``crc`` is per distinct word, ``key`` the group of contexts of each word."""
-
-    first: np.ndarray
-    code: np.ndarray
-    distinct: pa.Array
-    crc: np.ndarray
-    key: np.ndarray
-
-
-def coded_words(texts: pa.Array) -> Coded:
-    """Case does not count."""
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(first, code, distinct) of the words of all texts; case does not count."""
     w = common.words_of(texts)
     lower = pc.ascii_lower(w.distinct.cast(pa.large_string())).dictionary_encode()
     code = lower.indices.to_numpy(zero_copy_only=False)[w.code] if len(w.code) else np.zeros(0, dtype=np.int32)
-    crc = np.array([zlib.crc32(x.encode()) for x in lower.dictionary.to_pylist()], dtype=np.uint32)
-    # Beyond a text there is group 0.
-    group = ((crc >> np.uint32(20)) % SIDES).astype(np.int64)[code] if len(code) else code
-    left, right = np.zeros(len(code), dtype=np.int64), np.zeros(len(code), dtype=np.int64)
-    left[1:], right[:-1] = group[:-1], group[1:]
-    full = np.flatnonzero(np.diff(w.first))
-    left[w.first[:-1][full]] = 0
-    right[w.first[1:][full] - 1] = 0
-    return Coded(w.first, code, lower.dictionary, crc, left * SIDES + right)
+    return w.first, code, lower.dictionary
+
+
+def read(texts: pa.Array, tree: Tree, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(first, leaf, context, code, distinct) of the words of all texts."""
+    first, code, distinct = coded_words(texts)
+    crc = np.array([zlib.crc32(x.encode()) for x in distinct.to_pylist()], dtype=np.uint32)
+    bucket = (crc % np.uint32(buckets)).astype(np.int32)[code] if len(code) else np.zeros(0, np.int32)
+    leaf = tree.of(distinct)[code] if len(code) else np.zeros(0, np.int32)
+    return first, leaf, contexts_of(bucket, first, buckets), code, distinct
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +217,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counted(block: int, texts: list[pa.Array]) -> pa.RecordBatch:
-        w = coded_words(pa.concat_arrays(texts))
-        counts = np.bincount(w.code.astype(np.int64) * _KEYS + w.key, minlength=len(w.distinct) * _KEYS).reshape(-1, _KEYS)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(w.distinct), block)), w.distinct.cast(pa.string()), *(pa.array(counts[:, k]) for k in range(_KEYS))], names=["block", "word", *_COUNTS])
+        _, code, distinct = coded_words(pa.concat_arrays(texts))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block)), distinct.cast(pa.string()), pa.array(np.bincount(code, minlength=len(distinct)))], names=["block", "word", "n"])
 
     now, held = None, []
     for batch in batches:
@@ -175,51 +236,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(now, held)
 
 
-def _encode(docs: pa.Table, words: pa.Table, totals: np.ndarray, buckets: int) -> pa.Table:
-    """Per text its words' classes and buckets, and the log-probability of its words inside their classes."""
-    w = coded_words(docs.column("text").combine_chunks())
-    of = words.column("word").combine_chunks().cast(pa.large_string())
-    # A last row stands for what the model has not seen.
-    row = pc.fill_null(pc.index_in(w.distinct, value_set=of), len(of)).to_numpy(zero_copy_only=False)[w.code] if len(w.code) else w.code
-    counts = np.zeros((len(of) + 1, _KEYS))
-    for k, name in enumerate(_COUNTS):
-        counts[:-1, k] = words.column(name).to_numpy()
-    kinds = np.append(words.column("class").to_numpy(), len(totals) - 1).astype(np.uint16)
-    every = counts.sum(axis=1)
-    every[-1] = 1
-    kind = kinds[row]
-    in_class, size, heard = totals[:, :_KEYS], totals[:, -1], totals[:, :-1].sum(axis=1)
-    p = (counts[row, w.key] + size[kind] * every[row] / heard[kind]) / (in_class[kind, w.key] + size[kind])
-    sums = np.concatenate([[0.0], np.cumsum(np.log(p))])
-    inside = sums[w.first[1:]] - sums[w.first[:-1]]
-    bucket = (w.crc % np.uint32(buckets)).astype(_bucket_type(buckets))[w.code] if len(w.code) else np.zeros(0, _bucket_type(buckets))
-
-    def packed(x: np.ndarray) -> pa.Array:
-        return pa.Array.from_buffers(pa.binary(), len(inside), [None, pa.py_buffer((w.first * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-
-    return pa.table({"doc_id": docs.column("doc_id"), "n_words": np.diff(w.first).astype(np.int64), "inside": inside, "classes": packed(kind), "buckets": packed(bucket)})
-
-
-def _bucket_type(buckets: int) -> type:
-    return np.uint16 if buckets <= 1 << 16 else np.uint32
-
-
-def _unpacked(part: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, limits = common.text_bytes(part.column("classes"))
-    bucket, _ = common.text_bytes(part.column("buckets"))
-    first = limits // 2
-    return np.frombuffer(data.tobytes(), np.uint16).astype(np.int64), contexts_of(np.frombuffer(bucket.tobytes(), _bucket_type(buckets)), first, buckets), first
-
-
-def _train(batches: Iterator[pa.RecordBatch], mass: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    network, words = Network.start(mass, buckets), 0
-    for part in common.slices(batches, "classes", CODED_BYTES):
-        target, context, _ = _unpacked(part, buckets)
+def _train(batches: Iterator[pa.RecordBatch], network: Network, tree: Tree, buckets: int) -> Iterator[pa.RecordBatch]:
+    network, words = network.filled(network.flat()), 0
+    for part in common.slices(batches):
+        _, leaf, context, _, _ = read(part.column("text"), tree, buckets)
         # Words of a batch come from all over the slice.
-        step = max(1, -(-len(target) // BATCH))
-        for i in range(step if len(target) else 0):
-            network.train(context[i::step], target[i::step])
-        words += len(target)
+        step = max(1, -(-len(leaf) // BATCH))
+        for i in range(step if len(leaf) else 0):
+            network.train(context[i::step], leaf[i::step])
+        words += len(leaf)
     if words:
         flat = np.rint(network.flat().astype(np.float64) * _FIXED).astype(np.int64) * words
         values = np.concatenate([flat, [words]])
@@ -228,100 +253,74 @@ def _train(batches: Iterator[pa.RecordBatch], mass: np.ndarray, buckets: int) ->
 
 @dataclass
 class Model:
-    """``vocabulary`` is a table of (word, class, counts by group of contexts); ``totals`` has per class its counts by group, those of unseen words, and its words."""
+    """``vocabulary`` is a table of (word, n)."""
 
     vocabulary: DataFrame
-    totals: np.ndarray
+    tree: Tree
     buckets: int
     network: Network
 
 
-def _levels(by_count: list[tuple[int, int]], classes: int) -> list[tuple[int, int, int]]:
-    """(count, first class, classes) from (count, words) so that classes, in descending order of count, have about equal mass."""
-    total, before, out = sum(n * k for n, k in by_count), 0, []
-    for n, k in sorted(by_count, reverse=True):
-        low, high = classes * before // total, classes * (before + n * k - 1) // total
-        out.append((n, low, min(high - low + 1, k)))
-        before += n * k
-    return out
-
-
-def _encoded(dealt: DataFrame, counted: DataFrame, vocabulary: DataFrame, totals: np.ndarray, buckets: int) -> DataFrame:
-    back = counted.select("block", "word").join(vocabulary, "word", "inner")
-    both = dealt.groupBy("block").cogroup(back.groupBy("block"))
-    return both.applyInArrow(lambda a, b: _encode(a, b, totals, buckets), "doc_id long, n_words long, inside double, classes binary, buckets binary")
-
-
 def _dealt(docs: DataFrame, shared: common.Shared) -> tuple[DataFrame, DataFrame]:
     """Texts with their block, and the counted words of each block."""
     dealt = shared.put(docs.select("doc_id", "text").mapInArrow(_blocks, "doc_id long, text string, block long"))
-    return dealt, shared.put(dealt.select("text", "block").mapInArrow(_count, "block long, word string, " + ", ".join(f"{c} long" for c in _COUNTS)))
+    return dealt, shared.put(dealt.select("text", "block").mapInArrow(_count, "block long, word string, n long"))
 
 
-def _fit(docs: DataFrame, shared: common.Shared) -> tuple[Model, DataFrame] | None:
-    """A model of all of ``docs``, and ``docs`` encoded under it; the driver gets numbers per class, per distinct count and per parameter."""
-    spark = docs.sparkSession
-    dealt, counted = _dealt(docs, shared)
-    every = F.lit(0)
-    for c in _COUNTS:
-        every = every + F.col(c)
-    plain = shared.put(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS)).select("*", every.alias("n")))
-    by_count = [(r[0], r[1]) for r in plain.groupBy("n").count().collect()]
-    if not by_count:
+def _fit(dealt: DataFrame, counted: DataFrame, shared: common.Shared, rounds: int) -> Model | None:
+    """A model of all texts; the driver gets the words that have a leaf of their own, a row for each bucket of endings and one for each parameter."""
+    vocabulary = shared.put(counted.groupBy("word").agg(F.sum("n").alias("n")), free=True)
+    size, total = vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not size:
         return None
-    classes, buckets = sizes_for(sum(k for _, k in by_count))
-    levels = F.broadcast(spark.createDataFrame(_levels(by_count, classes), "n long, low int, width int"))
-    kind = (F.col("low") + F.pmod(F.xxhash64("word"), F.col("width"))).cast("int")
-    vocabulary = shared.put(plain.join(levels, "n").select("word", kind.alias("class"), *_COUNTS))
-    totals = np.zeros((classes, _KEYS + 2))
-    for r in vocabulary.groupBy("class").agg(*(F.sum(c) for c in _COUNTS), F.count(F.lit(1))).collect():
-        totals[r[0], :_KEYS], totals[r[0], -1] = r[1:-1], r[-1]
-    totals[-1, -2:] += 1  # a word that has not been seen
-    coded = shared.put(_encoded(dealt, counted, vocabulary, totals, buckets))
-    shared.drop(dealt, counted, plain)
-    mass = totals[:, :_KEYS].sum(axis=1)
-    sums = coded.select("classes", "buckets").mapInArrow(lambda it: _train(it, mass, buckets), "place int, value long").groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value"))
-    got = sums.toPandas()
-    values = np.zeros(len(got))
-    values[got["place"].to_numpy()] = got["value"].astype(float).to_numpy()
-    return Model(vocabulary, totals, buckets, Network.start(mass, buckets).filled(values[:-1] / values[-1] / _FIXED)), coded
-
-
-def train(docs: DataFrame) -> Model | None:
-    """Trains on all of ``docs``; None if they have no words."""
-    fitted = _fit(docs, common.Shared(docs.sparkSession, "likelihood"))
-    return fitted[0] if fitted else None
-
-
-def class_scores(network: Network, kind: np.ndarray, context: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(kind))
-    for i in range(0, len(kind), BATCH):
-        b = kind[i : i + BATCH]
-        _, _, logits = network.forward(context[i : i + BATCH])
-        out[i : i + BATCH] = logits[np.arange(len(b)), b] - np.log(np.exp(logits).sum(axis=1))
-    return out
-
-
-def _score(batches: Iterator[pa.RecordBatch], network: Network, buckets: int) -> Iterator[pa.RecordBatch]:
-    for part in common.slices(batches, "classes", CODED_BYTES):
-        kind, context, first = _unpacked(part, buckets)
+    width, buckets = sizes_for(size)
+    least = max(2, -(-total // (width * width)))
+    own = [(r[0], r[1]) for r in vocabulary.where(F.col("n") >= least).collect()]  # a leaf each at most
+    ending = F.substring("word", -2, 2)
+    endings = vocabulary.where(F.col("n") < least).groupBy((F.crc32(ending) % buckets).alias("bucket")).agg(F.min(ending), F.sum("n")).collect()
+    tree = grow_tree(own, [(int(r[0]), r[1], r[2]) for r in endings], width, buckets)
+    network = Network.start(tree.mass, width, buckets)
+    for _ in range(rounds):
+        sums = dealt.select("text").mapInArrow(lambda it, now=network: _train(it, now, tree, buckets), "place int, value long").groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value"))
+        got = sums.toPandas()
+        values = np.zeros(len(got))
+        values[got["place"].to_numpy()] = got["value"].astype(float).to_numpy()
+        network = network.filled(values[:-1] / values[-1] / _FIXED)
+    return Model(vocabulary, tree, buckets, network)
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model | None:
+    """Trains on all of ``docs``; None if they have no words.  Without rounds the context changes nothing."""
+    shared = common.Shared(docs.sparkSession, "likelihood")
+    return _fit(*_dealt(docs, shared), shared, rounds)
+
+
+def _score(docs: pa.Table, words: pa.Table, model: tuple[Tree, int, Network]) -> pa.Table:
+    """Per text the log-probability of its words, from the counts of the block's words."""
+    tree, buckets, network = model
+    known, counts = words.column("word").combine_chunks().cast(pa.large_string()), np.append(words.column("n").to_numpy(), 1)
+    out = []
+    for part in common.slices(iter(docs.combine_chunks().to_batches())):
+        first, leaf, context, code, distinct = read(part.column("text"), tree, buckets)
         n = np.diff(first)
-        sums = np.concatenate([[0.0], np.cumsum(class_scores(network, kind, context))])
-        total = sums[first[1:]] - sums[first[:-1]] + part.column("inside").to_numpy()
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total), pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0))], names=["doc_id", "n_words", "log_probability", "per_word"])
+        total = np.zeros(len(n))
+        if len(code):
+            row = pc.fill_null(pc.index_in(distinct, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+            each = network.log_probabilities(context, leaf) + np.log(counts[row])[code] - np.log(tree.mass)[leaf]
+            sums = np.concatenate([[0.0], np.cumsum(each)])
+            total = sums[first[1:]] - sums[first[:-1]]
+        out.append(pa.table({"doc_id": part.column("doc_id"), "n_words": n.astype(np.int64), "log_probability": total, "per_word": np.where(n > 0, total / np.maximum(n, 1), 0.0)}))
+    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_probability": pa.array([], pa.float64()), "per_word": pa.array([], pa.float64())})
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, n_words, log_probability, per_word) of every row of ``docs`` under a model, or one trained on all of them."""
     shared = common.Shared(docs.sparkSession, "likelihood")
+    dealt, counted = _dealt(docs, shared)
+    model = model or _fit(dealt, counted, shared, ROUNDS)
     if model is None:
-        fitted = _fit(docs, shared)
-        if fitted is None:
-            return docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_probability"), F.lit(0.0).alias("per_word"))
-        model, coded = fitted
-    else:
-        dealt, counted = _dealt(docs, shared)
-        coded = shared.put(_encoded(dealt, counted, model.vocabulary, model.totals, model.buckets))
-        shared.drop(dealt, counted)
-    network, buckets = model.network, model.buckets
-    return coded.mapInArrow(lambda it: _score(it, network, buckets), "doc_id long, n_words long, log_probability double, per_word double")
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_probability"), F.lit(0.0).alias("per_word"))
+    back = shared.put(counted.select("block", "word").join(model.vocabulary, "word"), free=True)
+    shared.drop(counted)
+    both, parts = dealt.groupBy("block").cogroup(back.groupBy("block")), (model.tree, model.buckets, model.network)
+    return both.applyInArrow(lambda a, b: _score(a, b, parts), "doc_id long, n_words long, log_probability double, per_word double")
