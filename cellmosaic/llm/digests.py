@@ -1,14 +1,15 @@
 """Document fingerprints: canonical exact digest, with DataFrame functions only.
 
-A text is brought to a canonical form (compatibility composition, case folding,
-white space runs as one space, trimmed) and hashed by two xxhash64 of different
+A text is brought to a canonical form (compatibility composition, full case
+folding, composition again, white space runs as one space, trimmed) and hashed by two xxhash64 of different
 seeds.  Inside equal digests the canonical texts are compared byte by byte: they
 are grouped by digest and text, and where one digest holds several texts the
 fingerprint gets the text's place among them as a suffix.
 
 Null texts count as empty.  Texts whose canonical forms are equal share a
 fingerprint, whatever their doc_id; repeated rows give repeated results.  The
-order of rows that share a doc_id is that of their digests.
+order of rows that share a doc_id is that of their digests.  Very long texts are
+handled whole, empty tables give empty results, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ SECOND_SEED = 0x5BD1E995
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.btrim(F.regexp_replace(F.lower(F.upper(composed)), r"[\s\u0085\p{Z}]+", " "))
+    compose = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    # Full case folding: lower(upper(x)) would not do, as the optimizer makes lower(x) of it.
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), compose(F.coalesce(text, F.lit(""))), F.lit(True))
+    return F.btrim(F.regexp_replace(compose(folded), r"[\s\u0085\p{Z}]+", " "))
 
 
 def digest(form: Column) -> Column:
