@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cellmosaic.llm import bpe, digests, mixing, page_text, pseudo_likelihood, queries, repeat_spans, repetition, secret_scan, simhash, toxic_segments
 
@@ -171,6 +172,33 @@ def _shingles(text):
     return frozenset(" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
 
 
+def test_blocks_rule_out_no_pair_that_is_alike(spark):
+    import random
+
+    r = random.Random(3)
+    base = [f"s{k}" for k in range(200)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for k in r.sample(range(200), r.randint(0, 14)):
+            words[k] = f"r{r.random()}"
+        texts.append(" ".join(words))
+    named = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text_key", F.col("doc_id"))
+    schema = "doc_id long, text_key long, bits long, n int, common int, marks array<long>, sketch array<long>, half array<long>, fold array<long>"
+    marked = named.mapInArrow(lambda it: simhash._prefixed(it, 5, 0.8, []), schema)
+    entered = marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), "n", F.col("text_key").alias("root"))
+    sets = [_shingles(t) for t in texts]
+    alike = {(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    for block in (4096, 7):
+        simhash.BLOCK, before = block, simhash.BLOCK
+        try:
+            got = {(x.u, x.v) for x in simhash._in_blocks(entered, marked, 0.8).distinct().collect()}
+        finally:
+            simhash.BLOCK = before
+        assert alike and alike <= got
+        assert {(x.u, x.v) for x in simhash._likely(spark.createDataFrame(sorted(got), "u long, v long"), marked, 0.8).collect()} >= alike
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_keep_one(spark, docs, empty, block, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)
@@ -220,6 +248,26 @@ def test_digests(docs, empty):
     assert got[15].near_next == 1.0 and digests.with_edits(empty).count() == 0
 
 
+def test_digests_fold_case(spark):
+    import unicodedata
+
+    texts = ["STRASSE", "Straße", "strasse", "ΑΣ", "ας", "ασ", "ﬁn", "FIN", "e\u0301", "É", "a\u2003 b", "A b", "ab"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = by_id(digests.with_edits(frame))
+    fold = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert (got[i].fingerprint == got[j].fingerprint) == (fold(a) == fold(b))
+    order = list(range(len(texts) - 1, -1, -1))
+    for k, i in enumerate(order):
+        a, b = texts[i], texts[order[(k + 1) % len(order)]]
+        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        assert got[i].near_next == float(fold(a) == fold(b)) and got[i].near_edited == float(fold(a) == fold(edited))
+        assert (got[i].edited_fingerprint == got[i].fingerprint) == (fold(a) == fold(edited))
+    plan = digests.with_edits(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "foldCase" in plan and "Python" not in plan
+
+
 def test_mixing(docs, empty):
     got = by_id(mixing.mix_report(docs))
     sizes = [len(WORD.findall(t or "")) for t in TEXTS]
@@ -266,18 +314,50 @@ def test_likelihood_tells_words_apart(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = by_id(pseudo_likelihood.score(frame))
     assert got[5000].log_probability < got[5001].log_probability - 2
-    assert got[5002].log_probability > got[5003].log_probability
+
+
+def test_likelihood_against_brute_force(spark, docs):
+    import math
+    import zlib
+
+    import numpy as np
+
+    model = pseudo_likelihood.train(docs)
+    counts = {r.word: r.n for r in model.vocabulary.collect()}
+    lower = lambda t: ["".join(c.lower() if c.isascii() else c for c in w) for w in WORD.findall(t or "")]
+    assert counts == Counter(w for t in TEXTS for w in lower(t))
+    tree, net = model.tree, model.network
+    own = dict(zip(tree.own.to_pylist(), tree.own_leaf.tolist()))
+    leaf = lambda w: own.get(w, int(tree.leaf[zlib.crc32(w[-2:].encode()) % len(tree.leaf)]))
+    mass = Counter()
+    for w, n in counts.items():
+        mass[leaf(w)] += n
+    assert all(abs(tree.mass[k] - 1 - mass[k]) < 1e-9 for k in range(len(tree.mass)))
+    got = by_id(pseudo_likelihood.score(docs, model))
+    for i in (3, 5, 10, 12, 17, 19):
+        words, total = lower(TEXTS[i]), 0.0
+        for k, w in enumerate(words):
+            near = [zlib.crc32(words[k + o].encode()) % model.buckets if 0 <= k + o < len(words) else model.buckets for o in (-2, -1, 1, 2)]
+            h = np.tanh(sum(net.embed[b] * m for b, m in zip(near, net.mix)))
+            branch, inner = divmod(leaf(w), tree.width)
+            for x, j in ((h @ net.out + net.bias, branch), (h @ net.leaf_out[branch] + net.leaf_bias[branch], inner)):
+                total += x[j] - math.log(sum(math.exp(y) for y in x))
+            total += math.log(counts[w] / (mass[leaf(w)] + 1))
+        assert abs(got[i].log_probability - total) < 1e-3 * max(1, abs(total)) and got[i].n_words == len(words)
+
+
+def test_likelihood_beats_word_counts_on_held_out_texts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+    seen, held = rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
+    plain, full = (pseudo_likelihood.train(seen, rounds) for rounds in (0, pseudo_likelihood.ROUNDS))
+    mean = lambda m: pseudo_likelihood.score(held, m).agg(F.sum("log_probability") / F.sum("n_words")).first()[0]
+    assert mean(full) > mean(plain) + 0.05
 
 
 def test_likelihood_grows_with_the_vocabulary(spark):
-    small, large = (pseudo_likelihood.train(spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")) for n in (100, 40_000))
+    small, large = (pseudo_likelihood.train(spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string"), 1) for n in (100, 40_000))
     assert small.vocabulary.count() == 100 and large.vocabulary.count() == 40_000
-    assert len(large.totals) > len(small.totals)
-    # Inside a class and a group of contexts, the words' probabilities sum to one.
-    k, last = 5, len(large.totals) - 1
-    size, heard = large.totals[last, -1], large.totals[last, :-1].sum()
-    shares = [(r[f"c{k}"] + size * sum(r[f"c{j}"] for j in range(16)) / heard) / (large.totals[last, k] + size) for r in large.vocabulary.where(f"class = {last}").collect()]
-    assert abs(sum(shares) + size / heard / (large.totals[last, k] + size) - 1) < 1e-9
+    assert large.buckets > small.buckets or large.tree.width > small.tree.width
 
 
 def test_keep_one_keeps_chains_in_a_large_group(spark):
