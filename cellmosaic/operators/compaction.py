@@ -13,21 +13,18 @@ def compact(cells: DataFrame, grid: Grid, res: int, parent_res: int, bands: tupl
 
     A level is a grouped count and two extremes of the row of bands, which are
     combined before the shuffle; a group is uniform if they are equal (null equals
-    null).  Cells under an ancestor that qualifies move there at once, as it
-    contains all finer groups.
+    null).  Every level looks at the cells alone, so the plan has one scan a level
+    and one for the result: a cell goes to its coarsest ancestor that qualifies.
     """
     up, own = grid.index_column(parent_res), grid.index_column(res)
-    left = cells.where(F.col(own).isNotNull())
+    rows = cells.where(F.col(own).isNotNull()).select(up, own, *bands)
     value = F.struct(*[F.col(b) for b in bands])
-    done: list[DataFrame] = []
-    for level in range(parent_res, res):
+    out, levels = rows, range(parent_res, res)
+    for level in levels:
         at: Column = parent(grid, F.col(own), res, level)
-        grouped = left.select(up, at.alias("_at"), value.alias("_v")).groupBy(up, "_at").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        whole = grouped.where((F.col("n") == F.lit(grid.children(level, res))) & F.col("lo").eqNullSafe(F.col("hi")))
-        done.append(whole.select(up, F.col("_at").alias(own), *[F.col(f"lo.{b}").alias(b) for b in bands]))
-        ancestors = whole.select(F.col("_at"))
-        left = left.withColumn("_at", at).join(ancestors, "_at", "left_anti").drop("_at")
-    out = left.select(up, own, *bands)
-    for d in done:
-        out = out.unionByName(d)
-    return out
+        grouped = rows.select(at.alias(f"_at{level}"), value.alias("_v")).groupBy(f"_at{level}").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        whole = grouped.where((F.col("n") == F.lit(grid.children(level, res))) & F.col("lo").eqNullSafe(F.col("hi"))).select(f"_at{level}", F.lit(True).alias(f"_whole{level}"))
+        out = out.withColumn(f"_at{level}", at).join(whole, f"_at{level}", "left")
+    target = F.coalesce(*[F.when(F.col(f"_whole{level}"), F.col(f"_at{level}")) for level in levels], F.col(own))
+    # The rows of a group are equal, so it does not matter which one stays.
+    return out.select(up, target.alias(own), *bands).groupBy(up, own).agg(*[F.first(b).alias(b) for b in bands])

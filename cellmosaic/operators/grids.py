@@ -32,6 +32,17 @@ def box_area(west: Column, south: Column, east: Column, north: Column) -> Column
     return F.abs(zone_area(north) - zone_area(south)) * F.radians(F.abs(east - west))
 
 
+def ellipsoid_box(width: float, south: float, north: float) -> float:
+    """The same of a box that is ``width`` degrees wide, as a number."""
+    e = math.sqrt(_E2)
+
+    def zone(lat: float) -> float:
+        s = math.sin(math.radians(lat))
+        return _B * _B / 2 * (s / (1 - _E2 * s * s) + math.atanh(e * s) / e)
+
+    return abs(zone(north) - zone(south)) * math.radians(width)
+
+
 def power(base: int, exponent: int) -> float:
     return float(base**exponent)
 
@@ -102,7 +113,8 @@ class Lattice(Grid):
 
     def area_at(self, res: int, lat: float) -> float:
         nx, ny = self.steps(res)
-        return (EARTH_RADIUS * math.radians(360 / nx)) * (EARTH_RADIUS * math.radians(180 / ny)) * max(math.cos(math.radians(lat)), 0.0)
+        row = min(ny - 1, max(0, math.floor((lat + 90) * ny / 180)))
+        return ellipsoid_box(360 / nx, row * 180 / ny - 90, (row + 1) * 180 / ny - 90)
 
     def cells_in_box(self, spark: SparkSession, res: int, west: float, south: float, east: float, north: float) -> DataFrame:
         """(cell, ix, iy, lon, lat) of all cells whose centre is in the closed box; rows of the lattice are made in parallel."""
@@ -116,6 +128,15 @@ class Lattice(Grid):
         both = lines.select(wide.alias("ix"), "iy")
         return both.select(self.encode(F.col("ix"), F.col("iy"), res).alias("cell"), "ix", "iy", ((F.col("ix") + 0.5) * 360.0 / nx - 180.0).alias("lon"), ((F.col("iy") + 0.5) * 180.0 / ny - 90.0).alias("lat"))
 
+    def cells_touching_box(self, spark: SparkSession, res: int, west: float, south: float, east: float, north: float) -> DataFrame:
+        """(cell, ix, iy) of all cells that share area with the box, wherever their centre is."""
+        nx, ny = self.steps(res)
+        x0, x1 = max(0, math.floor((west + 180) * nx / 360)), min(nx - 1, math.ceil((east + 180) * nx / 360) - 1)
+        y0, y1 = max(0, math.floor((south + 90) * ny / 180)), min(ny - 1, math.ceil((north + 90) * ny / 180) - 1)
+        lines = spark.range(y0, max(y0, y1 + 1)).withColumnRenamed("id", "iy")
+        wide = F.explode(F.sequence(F.lit(x0).cast("long"), F.lit(x1).cast("long"))) if x1 >= x0 else F.explode(F.array().cast("array<bigint>"))
+        return lines.select(wide.alias("ix"), "iy").select(self.encode(F.col("ix"), F.col("iy"), res).alias("cell"), "ix", "iy")
+
     def polygon(self, cell: Column, res: int) -> Column:
         w, s, e, n = self.box(cell, res)
         return F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))])
@@ -208,19 +229,30 @@ class S2(Grid):
     def text(self, cell: Column) -> Column:
         return F.regexp_replace(F.lower(F.lpad(F.hex(cell), 16, "0")), "0+$", "")
 
-    def assign(self, lon: Column, lat: Column, res: int) -> Column:
+    def staged(self, rows: DataFrame, lon: Column, lat: Column, res: int, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        """``rows`` with ``keep`` and the cell as ``name``; each step is a projection of its own, so that no arithmetic is repeated."""
         phi, theta = F.radians(lat), F.radians(lon)
-        x, y, z = F.cos(phi) * F.cos(theta), F.cos(phi) * F.sin(theta), F.sin(phi)
+        flat = rows.select(F.cos(phi).alias("_r"), F.sin(phi).alias("_z"), F.cos(theta).alias("_a"), F.sin(theta).alias("_b"), *keep)
+        x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
+        point = flat.select((F.col("_r") * F.col("_a")).alias("_x"), (F.col("_r") * F.col("_b")).alias("_y"), "_z", *keep)
         ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
         on_x, on_y = (ax > ay) & (ax > az), ay > az
-        face = F.when(on_x, F.when(x < 0, 3).otherwise(0)).when(~on_x & on_y & (ay >= ax), F.when(y < 0, 4).otherwise(1)).otherwise(F.when(z < 0, 5).otherwise(2))
+        side = F.when(on_x, F.when(x < 0, 3).otherwise(0)).when(~on_x & on_y & (ay >= ax), F.when(y < 0, 4).otherwise(1)).otherwise(F.when(z < 0, 5).otherwise(2))
+        faced, face = point.select(side.alias("_f"), "_x", "_y", "_z", *keep), F.col("_f")
         # The two other axes over the face's own, as the curve runs on that face.
         u = F.when(face == 0, y / x).when(face == 1, -x / y).when(face == 2, -x / z).when(face == 3, z / x).when(face == 4, z / y).otherwise(-y / z)
         v = F.when(face == 0, z / x).when(face == 1, z / y).when(face == 2, -y / z).when(face == 3, y / x).when(face == 4, -x / y).otherwise(-x / z)
+        uv = faced.select("_f", u.alias("_u"), v.alias("_v"), *keep)
         square = lambda c: F.when(c >= 0, 0.5 * F.sqrt(1 + 3 * c)).otherwise(1 - 0.5 * F.sqrt(1 - 3 * c))
         size = 1 << 30
         cell = lambda c: F.least(F.greatest(F.floor(square(c) * size), F.lit(0)), F.lit(size - 1)).cast("long")
-        state = F.struct(face.bitwiseAND(F.lit(1)).cast("long").alias("turn"), face.cast("long").alias("id"), cell(u).alias("i"), cell(v).alias("j"))
+        placed = uv.select(F.col("_f").cast("long").alias("_f"), cell(F.col("_u")).alias("_i"), cell(F.col("_v")).alias("_j"), *keep)
+        return placed.select(self.curve(F.col("_f"), F.col("_i"), F.col("_j"), res).alias(name), *keep)
+
+    def curve(self, face: Column, i: Column, j: Column, res: int) -> Column:
+        """The id of a place on a face."""
+        size = 1 << 30
+        state = F.struct(face.bitwiseAND(F.lit(1).cast("long")).alias("turn"), face.alias("id"), i.alias("i"), j.alias("j"))
         # Of each orientation (1: axes swapped, 2: both inverted), the place on the curve of quadrant (i, j).
         position = F.array(*[F.lit(p).cast("long") for p in (0, 1, 3, 2, 0, 3, 1, 2, 2, 3, 1, 0, 2, 1, 3, 0)])
         turn = F.array(*[F.lit(t).cast("long") for t in (1, 0, 0, 3)])
@@ -231,7 +263,7 @@ class S2(Grid):
             return F.struct(s["turn"].bitwiseXOR(F.get(turn, p.cast("int"))).alias("turn"), F.shiftleft(s["id"], 2).bitwiseOR(p).alias("id"), (s["i"] * 2).bitwiseAND(F.lit(size - 1)).alias("i"), (s["j"] * 2).bitwiseAND(F.lit(size - 1)).alias("j"))
 
         if res == 0:
-            curve = face.cast("long")
+            curve = face
         else:
             curve = F.aggregate(F.sequence(F.lit(1), F.lit(res)), state, step)["id"]
         return F.shiftleft(F.shiftleft(curve, 1).bitwiseOR(F.lit(1).cast("long")), 60 - 2 * res)
@@ -248,7 +280,11 @@ class S2(Grid):
 
 
 class HealPix(Grid):
-    """Twelve equal-area base cells cut into four over and over; ids number them along nested quadrants."""
+    """Twelve equal-area base cells cut into four over and over.
+
+    Ids number them along nested quadrants from 4 * 4**res on, so that ids of
+    different resolutions differ.
+    """
 
     def __init__(self):
         super().__init__("healpix", 0, 26, 5, False)
@@ -275,7 +311,12 @@ class HealPix(Grid):
         one = F.lit(1).cast("long")
         for k in range(res):
             nested = nested + F.shiftleft(F.shiftright(x.cast("long"), k).bitwiseAND(one), 2 * k) + F.shiftleft(F.shiftright(y.cast("long"), k).bitwiseAND(one), 2 * k + 1)
-        return face.cast("long") * F.lit(n * n).cast("long") + nested
+        return (face.cast("long") + 4) * F.lit(n * n).cast("long") + nested
+
+    def text(self, cell: Column) -> Column:
+        """The resolution and the number inside it."""
+        res = (F.floor(F.log2(cell.cast("double") + 0.5) / 2) - 1).cast("int")
+        return F.concat(res.cast("string"), F.lit("/"), (cell - F.call_function("shiftleft", F.lit(4).cast("long"), res * 2)).cast("string"))
 
     def parent_of(self, cell: Column, res: int, parent: int) -> Column:
         return F.shiftright(cell, 2 * (res - parent))

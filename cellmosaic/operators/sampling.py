@@ -3,6 +3,7 @@
 A cell's stencil is a fixed list of pixel offsets, so the lookup is an equi-join
 on (row, col) and a grouped sum, never a range join.  Pixels outside the raster
 do not match and count as missing; weights are divided by those of valid pixels.
+A bilinear stencil that leaves the raster gives no value.
 """
 
 from __future__ import annotations
@@ -41,17 +42,20 @@ def sample(cells: DataFrame, pixels: DataFrame, raster: Raster, bands: tuple[str
     r, c = raster.fractional(F.col("lon"), F.col("lat"))
     shift = 0.5 if how == "nn" else 0.0
     keys = cells.columns
+    within = F.lit(True)
+    if how == "bilinear":
+        within = (F.col("_row") >= 0) & (F.col("_row") + 1 < raster.height) & (F.col("_col") >= 0) & (F.col("_col") + 1 < raster.width)
     placed = cells.select("*", r.alias("_r"), c.alias("_c")).select("*", F.floor(F.col("_r") + shift).alias("_row"), F.floor(F.col("_c") + shift).alias("_col"))
     reach = F.sequence(F.lit(low), F.lit(high))
     placed = placed.where((F.floor(F.col("_r") + 0.5) >= 0) & (F.floor(F.col("_r") + 0.5) < raster.height) & (F.floor(F.col("_c") + 0.5) >= 0) & (F.floor(F.col("_c") + 0.5) < raster.width))
     stencil = placed.select("*", F.explode(reach).alias("_i")).select("*", F.explode(reach).alias("_j"))
-    weighted = stencil.select(*keys, (F.col("_row") + F.col("_i")).cast("int").alias("row"), (F.col("_col") + F.col("_j")).cast("int").alias("col"), (kernel(how, F.col("_r") - F.col("_row") - F.col("_i")) * kernel(how, F.col("_c") - F.col("_col") - F.col("_j"))).alias("_w"))
+    weighted = stencil.select(*keys, within.alias("_within"), (F.col("_row") + F.col("_i")).cast("int").alias("row"), (F.col("_col") + F.col("_j")).cast("int").alias("col"), (kernel(how, F.col("_r") - F.col("_row") - F.col("_i")) * kernel(how, F.col("_c") - F.col("_col") - F.col("_j"))).alias("_w"))
     values = mask_bands(pixels.select("row", "col", *bands), bands, raster.nodata)
     joined = weighted.join(values, ["row", "col"], "left")
     sums = []
     for b in bands:
         valid = F.col(b).isNotNull()
         total = F.sum(F.when(valid, F.col("_w")))
-        sums.append(F.when((F.count(b) >= needed) & (total != 0), F.sum(F.col("_w") * F.col(b)) / total).alias(b))
-    out = joined.groupBy(*keys).agg(*sums)
+        sums.append(F.when(F.col("_within") & (F.count(b) >= needed) & (total != 0), F.sum(F.col("_w") * F.col(b)) / total).alias(b))
+    out = joined.groupBy(*keys, "_within").agg(*sums).drop("_within")
     return apply_policy(out, bands, policy, missing="any", fill=raster.nodata if fill is None else fill)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from cellmosaic.functions.aggregates import NAMES
 from cellmosaic.functions.histograms import Bins
-from cellmosaic.operators.grids import EARTH_RADIUS, Grid, grid
+from cellmosaic.operators.grids import Grid, ellipsoid_box, grid
 from cellmosaic.operators.overlay import METHODS
 from cellmosaic.operators.sampling import STENCILS
 from cellmosaic.sources.raster import Raster
@@ -66,17 +65,16 @@ class IndexConfig:
 
 
 def pixel_area(raster: Raster) -> tuple[float, float]:
-    """The mean area of a pixel of a raster in degrees, and the latitude of its centre."""
+    """The mean area on the ellipsoid of a pixel of a raster in degrees, and the latitude of its centre."""
     w, s, e, n = raster.bounds()
-    share = math.sin(math.radians(n)) - math.sin(math.radians(s))
-    return EARTH_RADIUS**2 * math.radians(e - w) * share / (raster.width * raster.height), (s + n) / 2
+    return ellipsoid_box(e - w, s, n) / (raster.width * raster.height), (s + n) / 2
 
 
 def choose_resolution(g: Grid, area: float, lat: float, mode: str) -> int:
-    """The resolution whose cells are just smaller or larger than ``area``, or nearest to it."""
+    """The resolution whose cells are just smaller or larger than ``area``, or nearest to it; without one, the coarsest."""
     sizes = [(r, g.area_at(r, lat)) for r in range(g.low, g.high + 1)]
     if mode == "smaller-than-pixel":
-        return next((r for r, a in sizes if a <= area), g.high)
+        return next((r for r, a in sizes if a <= area), g.low)
     if mode == "larger-than-pixel":
         return max((r for r, a in sizes if a >= area), default=g.low)
     if mode == "min-diff":

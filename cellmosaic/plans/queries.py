@@ -219,6 +219,8 @@ def _sampled(how: str) -> tuple[Query, str]:
     inside = f"SELECT {_encode_sql('geohash', 'ix', 'iy', _SAMPLE_RES)} AS cell, (-36-lat)*512-0.5::DOUBLE AS r, (lon-174)*64-0.5::DOUBLE AS c FROM ({lattice}) WHERE lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n}"
     shift = "+0.5::DOUBLE" if how == "nn" else ""
     stencil = f"SELECT cell, r, c, CAST(floor(r{shift}) AS INT)+i AS prow, CAST(floor(c{shift}) AS INT)+j AS pcol FROM ({inside}), range({low},{high + 1}) p(i), range({low},{high + 1}) q(j) WHERE floor(r+0.5::DOUBLE) BETWEEN 0 AND 511 AND floor(c+0.5::DOUBLE) BETWEEN 0 AND 63"
+    if how == "bilinear":  # the four pixels around a place are all there
+        stencil += " AND r >= 0 AND r < 511 AND c >= 0 AND c < 63"
 
     def weight(t: str) -> str:
         x = f"abs({t})"
@@ -239,25 +241,28 @@ _OVER_RES = 6
 
 def _covered(spark: SparkSession, sf_dir: str, bands: tuple[str, ...]) -> DataFrame:
     raster = _raster(spark, sf_dir)
-    cells = _GH.cells_in_box(spark, _OVER_RES, *raster.bounds()).select("cell", "ix", "iy")
+    cells = _GH.cells_touching_box(spark, _OVER_RES, *raster.bounds())
     return overlay.coverage(cells, _GH, _OVER_RES, raster, _grid(spark, sf_dir), bands)
 
 
 def _covered_sql() -> str:
     nx, ny = _steps("geohash", _OVER_RES)
     w, s, e, n = RASTER.bounds()
-    lattice = f"SELECT ix, iy FROM range({int((w + 180) * nx / 360) - 2},{int((e + 180) * nx / 360) + 3}) a(ix), range({int((s + 90) * ny / 180) - 2},{int((n + 90) * ny / 180) + 3}) b(iy) WHERE (ix+0.5::DOUBLE)*360/{nx}-180 BETWEEN {w} AND {e} AND (iy+0.5::DOUBLE)*180/{ny}-90 BETWEEN {s} AND {n}"
+    lattice = f"SELECT ix, iy FROM range({int((w + 180) * nx / 360) - 2},{int((e + 180) * nx / 360) + 3}) a(ix), range({int((s + 90) * ny / 180) - 2},{int((n + 90) * ny / 180) + 3}) b(iy) WHERE (ix+1)*360.0::DOUBLE/{nx}-180 > {w} AND ix*360.0::DOUBLE/{nx}-180 < {e} AND (iy+1)*180.0::DOUBLE/{ny}-90 > {s} AND iy*180.0::DOUBLE/{ny}-90 < {n}"
     box = f"SELECT {_encode_sql('geohash', 'ix', 'iy', _OVER_RES)} AS cell, (ix*360.0::DOUBLE/{nx}-180-174)*64 AS x0, ((ix+1)*360.0::DOUBLE/{nx}-180-174)*64 AS x1, (-36-((iy+1)*180.0::DOUBLE/{ny}-90))*512 AS y0, (-36-(iy*180.0::DOUBLE/{ny}-90))*512 AS y1 FROM ({lattice})"
     zone = lambda lat: f"(sin(radians({lat}))/(1-0.0066943799901413165::DOUBLE*sin(radians({lat}))*sin(radians({lat})))+atanh(sqrt(0.0066943799901413165::DOUBLE)*sin(radians({lat})))/sqrt(0.0066943799901413165::DOUBLE))"
     area = f"abs({zone('-36-(g.row+1)/512.0::DOUBLE')}-{zone('-36-g.row/512.0::DOUBLE')})*6356752.314245179::DOUBLE*6356752.314245179::DOUBLE/2*radians(1/64.0::DOUBLE)"
-    return f"SELECT * FROM (SELECT b.cell, (least(x1,g.col+1)-greatest(x0,g.col))*(least(y1,g.row+1)-greatest(y0,g.row)) AS c, {area} AS w, g.band_1, g.klass FROM ({box}) b JOIN ({GRID_SQL}) g ON g.col<x1 AND g.col+1>x0 AND g.row<y1 AND g.row+1>y0 AND g.row<512) WHERE c>0"
+    return f"SELECT * FROM (SELECT b.cell, (least(x1,64)-greatest(x0,0))*(least(y1,512)-greatest(y0,0))/((x1-x0)*(y1-y0)) AS rf, (least(x1,g.col+1)-greatest(x0,g.col))*(least(y1,g.row+1)-greatest(y0,g.row)) AS c, {area} AS w, g.band_1, g.klass FROM ({box}) b JOIN ({GRID_SQL}) g ON g.col<x1 AND g.col+1>x0 AND g.row<y1 AND g.row+1>y0 AND g.row<512) WHERE c>0"
 
 
-def _overlaid(method: str) -> tuple[Query, str | None]:
-    band = "klass" if method in ("mode", "fractions") else "band_1"
+def _overlaid(method: str, threshold: float = 0.0) -> tuple[Query, str | None]:
+    band = "klass" if method in ("mode", "fractions", "histogram") else "band_1"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = overlay.overlay(_covered(spark, sf_dir, (band,)), ["cell"], band, method)
+        out = overlay.overlay(_covered(spark, sf_dir, (band,)), ["cell"], band, method, threshold=threshold, bins=histograms.Bins(weight="area"))
+        if method == "histogram":
+            each = out.select("cell", F.explode(F.arrays_zip(F.col(f"{band}.values").alias("k"), F.col(f"{band}.area").alias("a"))).alias("e"))
+            return each.select("cell", F.col("e.k").alias("value"), F.bround(F.col("e.a") * 1e-6, 6).alias("km2"))
         if method == "fractions":
             each = out.select("cell", F.explode(F.arrays_zip(F.col(f"{band}.classes").alias("k"), F.col(f"{band}.fractions").alias("f"))).alias("e"))
             return each.select("cell", F.col("e.k").alias("class"), F.bround("e.f", 6).alias("fraction"))
@@ -271,10 +276,16 @@ def _overlaid(method: str) -> tuple[Query, str | None]:
         "weighted": f"SELECT cell, round_even(sum(c*w*band_1)/sum(CASE WHEN band_1 IS NOT NULL THEN c*w END),6) AS value FROM ({base}) GROUP BY cell HAVING count(band_1)>0",
         "mass_preserve": f"SELECT cell, round_even(sum(c*band_1),6) AS value FROM ({base}) GROUP BY cell HAVING count(band_1)>0",
         "density_preserve": f"SELECT cell, round_even(sum(c*band_1*w)*1e-6::DOUBLE,6) AS value FROM ({base}) GROUP BY cell HAVING count(band_1)>0",
-        "fractions": f'SELECT cell, CAST(klass AS BIGINT) AS "class", round_even(sum(c)/max(total),6) AS fraction FROM (SELECT *, sum(c) OVER (PARTITION BY cell) AS total FROM ({base})) GROUP BY 1,2',
+        "fractions": f'SELECT cell, CAST(klass AS BIGINT) AS "class", round_even(sum(c)/max(total)*max(rf),6) AS fraction FROM (SELECT *, sum(c) OVER (PARTITION BY cell) AS total FROM ({base})) GROUP BY 1,2',
         "list": f"SELECT cell, CAST(count(band_1) AS INT) AS n, round_even(sum(band_1),6) AS total FROM ({base}) GROUP BY cell HAVING count(band_1)>0",
     }
-    return run, sql.get(method)
+    sql["mode"] = f"SELECT cell, klass AS value FROM (SELECT cell, klass, row_number() OVER (PARTITION BY cell ORDER BY round(sum(c),9) DESC, klass DESC) AS place FROM ({base}) WHERE klass IS NOT NULL GROUP BY 1,2) WHERE place=1"
+    sql["histogram"] = f"SELECT cell, klass AS value, round_even(sum(c*w)*1e-6::DOUBLE,6) AS km2 FROM ({base}) GROUP BY 1,2"
+    text = sql.get(method)
+    if threshold and text:
+        # Only "weighted" is queried with a threshold.
+        text = text.replace("HAVING count(band_1)>0", f"HAVING count(band_1)>0 AND sum(CASE WHEN band_1 IS NOT NULL THEN c ELSE 0 END)/sum(c)*max(rf)>={threshold}")
+    return run, text
 
 
 def compact_single_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,6 +332,20 @@ def res_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "mode string, dggs string, resolution int")
 
 
+def _res_sql() -> str:
+    """Areas of all resolutions in SQL, and the three choices among them."""
+    zone = lambda lat: f"(sin(radians({lat}))/(1-0.0066943799901413165::DOUBLE*pow(sin(radians({lat})),2))+atanh(sqrt(0.0066943799901413165::DOUBLE)*sin(radians({lat})))/sqrt(0.0066943799901413165::DOUBLE))"
+    box = lambda wide, south, north: f"abs({zone(north)}-{zone(south)})*pow(6356752.314245179::DOUBLE,2)/2*radians({wide})"
+    # The centre of the raster is at 36.5 degrees south; its pixels are 1/64 by 1/512 degree.
+    geohash = f"SELECT 'geohash' AS dggs, r, {box('360.0::DOUBLE/pow(2,ceil(5*r/2.0))', 'y*180/ny-90', '(y+1)*180/ny-90')} AS area FROM (SELECT r, pow(2,floor(5*r/2.0)) AS ny, floor((90-36.5::DOUBLE)*pow(2,floor(5*r/2.0))/180) AS y FROM range(1,13) t(r))"
+    equal = lambda name, top, first: f"SELECT '{name}' AS dggs, r, 4*pi()*pow(6371000.0::DOUBLE,2)/({first}*pow(4,r)) AS area FROM range(0,{top + 1}) t(r)"
+    areas = f"{geohash} UNION ALL {equal('s2', 30, 6)} UNION ALL {equal('healpix', 26, 12)}"
+    pixel = f"({box('1.0::DOUBLE', '-37.0::DOUBLE', '-36.0::DOUBLE')})/(64*512)"
+    base = f"SELECT dggs, r, area, {pixel} AS pixel FROM ({areas})"
+    picks = {"smaller-than-pixel": "coalesce(min(CASE WHEN area<=pixel THEN r END),min(r))", "larger-than-pixel": "coalesce(max(CASE WHEN area>=pixel THEN r END),min(r))", "min-diff": "arg_min(r,abs(area-pixel))"}
+    return " UNION ALL ".join(f"SELECT '{mode}' AS mode, dggs, CAST({pick} AS INT) AS resolution FROM ({base}) GROUP BY dggs" for mode, pick in picks.items())
+
+
 def _made() -> tuple[dict[str, Query], dict[str, str]]:
     runs: dict[str, Query] = {}
     sql: dict[str, str | None] = {}
@@ -345,13 +370,14 @@ def _made() -> tuple[dict[str, Query], dict[str, str]]:
     add("out_hist_width", _flat_histogram(histograms.Bins(width=2.5, origin=0.5)), _histogram_sql("0.5::DOUBLE+floor((band_2-0.5::DOUBLE)/2.5::DOUBLE)*2.5::DOUBLE", "n"))
     for how in sampling.STENCILS:
         add(f"sample_{how}", *_sampled(how))
-    for method in overlay.METHODS:
+    for method in (*overlay.METHODS, "histogram"):
         add(f"overlay_{method}", *_overlaid(method))
+    add("overlay_vct", *_overlaid("weighted", 0.93))
     add("compact_single_parent", compact_single_parent, _compact_sql())
     add("cell_enumerate_bbox", cell_enumerate, _enumerate_sql())
     add("cell_s2", cell_s2)
     add("cell_healpix", cell_healpix)
-    add("res_choice", res_choice)
+    add("res_choice", res_choice, _res_sql())
     return runs, {k: v for k, v in sql.items() if v}
 
 

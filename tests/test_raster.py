@@ -9,8 +9,9 @@ import __spark_entry__ as entry
 from cellmosaic.functions.aggregates import by_cell
 from cellmosaic.functions.histograms import Bins, histogram
 from cellmosaic.operators.grids import grid, parent
+from cellmosaic.operators import compaction, overlay, points, sampling
 from cellmosaic.plans import queries
-from cellmosaic.plans.config import IndexConfig
+from cellmosaic.plans.config import IndexConfig, choose_resolution
 from cellmosaic.sources.raster import Raster, select_bands
 from cellmosaic.sources.sinks import with_geometry, write_cells
 
@@ -37,8 +38,9 @@ def test_parents_hold_their_children(spark):
     for name in ("s2", "healpix"):
         g = grid(name)
         at = spark.range(500).select((F.col("id") * 0.7 - 175).alias("lon"), (F.col("id") * 7919 % 179 - 89.0).alias("lat"))
-        lon, lat = F.col("lon"), F.col("lat")
-        assert at.where(parent(g, g.assign(lon, lat, 9), 9, 4) != g.assign(lon, lat, 4)).count() == 0
+        own = points.assign(at, g, 9, 4, keep=("lon", "lat"))
+        again = points.assign(own.withColumnRenamed(g.index_column(4), "up"), g, 4, 3, keep=("up",))
+        assert again.where(F.col("up") != F.col(g.index_column(4))).count() == 0 and again.count() == 500
 
 
 def test_mode_ties_and_nulls(spark):
@@ -85,7 +87,7 @@ def _same(a, b):
     return key(a) == key(b)
 
 
-@pytest.mark.parametrize("name", ["agg_mean", "agg_mode", "agg_multi", "point_maidenhead", "out_list", "out_hist_edges", "sample_bicubic", "overlay_weighted", "overlay_fractions", "compact_single_parent"])
+@pytest.mark.parametrize("name", ["agg_mean", "agg_mode", "agg_multi", "point_maidenhead", "out_list", "out_hist_edges", "sample_bicubic", "sample_bilinear", "overlay_weighted", "overlay_fractions", "overlay_mass_preserve", "overlay_mode", "overlay_histogram", "overlay_vct", "compact_single_parent", "res_choice"])
 def test_against_sql(spark, name):
     import duckdb
 
@@ -112,3 +114,63 @@ def test_rasters_are_as_high_as_their_table(spark, tmp_path):
     for n in (500, 2000, 27_648, 27_649, 51_282, 10**7):
         assert queries.raster_of(n).bounds()[1] >= -90 and queries.raster_of(n).height >= n
     assert queries.raster_of(500) == queries.RASTER
+
+
+def _ones(spark, rows=10, cols=10):
+    return spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"), F.lit(1.0).alias("v"), F.lit(3.0).alias("k"))
+
+
+def test_overlays_keep_the_total(spark):
+    raster = Raster(10, 10, (0.01, 0.0, 174.0, 0.0, -0.01, -41.0), ("v",))
+    g = grid("geohash")
+    for res in (4, 5, 6):
+        covered = overlay.coverage(g.cells_touching_box(spark, res, *raster.bounds()), g, res, raster, _ones(spark), ("v", "k"))
+        got = overlay.overlay(covered, ["cell"], "v", "mass_preserve", threshold=0.9)
+        assert abs(got.agg(F.sum("v")).first()[0] - 100) < 1e-6
+        # What of a cell lies outside the raster counts against it.
+        parts = overlay.overlay(covered, ["cell"], "k", "fractions").select("cell", F.col("k.fractions")[0].alias("f"))
+        share = {r.cell: r.f for r in parts.collect()}
+        kept = {r.cell for r in overlay.overlay(covered, ["cell"], "v", "list", threshold=0.5).where("v IS NOT NULL").collect()}
+        assert kept == {c for c, f in share.items() if f >= 0.5} and all(0 < f <= 1 + 1e-9 for f in share.values()) and min(share.values()) < 0.9
+        counts = overlay.overlay(covered, ["cell"], "k", "histogram").select(F.sum(F.col("k.counts")[0])).first()[0]
+        assert counts == covered.count()
+
+
+def test_overlay_policy(spark):
+    made = spark.createDataFrame([("a", 1.0, [1.0]), ("b", None, None)], "cell string, v double, l array<double>")
+    assert [r.cell for r in overlay.apply_overlay_policy(made, ("v", "l"), "omit").collect()] == ["a"]
+    got = {r.cell: (r.v, r.l) for r in overlay.apply_overlay_policy(made, ("v", "l"), "emit").collect()}
+    assert got["a"] == (1.0, [1.0]) and got["b"][0] != got["b"][0] and got["b"][1] is None
+
+
+def test_bilinear_needs_all_four_pixels(spark):
+    raster = Raster(10, 10, (1.0, 0.0, 0.0, 0.0, -1.0, 10.0), ("v",))
+    cells = spark.createDataFrame([("in", 5.2, 5.2), ("edge", 0.2, 5.2), ("last", 9.8, 5.2)], "cell string, lon double, lat double")
+    assert {r.cell for r in sampling.sample(cells, _ones(spark), raster, ("v",), "bilinear").collect()} == {"in"}
+    got = {r.cell: r.v for r in sampling.sample(cells, _ones(spark), raster, ("v",), "bilinear", policy="emit", fill=-5.0).collect()}
+    assert got == {"in": 1.0, "edge": -5.0, "last": -5.0}
+
+
+def test_emit_fills_with_nodata(spark):
+    rows = spark.createDataFrame([(10.0, 50.0, -9999.0), (10.0, 50.0, 1.0)], "lon double, lat double, v double")
+    got = points.index_points(rows, grid("geohash"), 4, ("v",), aggs=("min",), nodata=-9999.0, policy="emit")
+    assert got.first()["v"] == -9999.0
+
+
+def test_compaction_expands_to_its_input(spark):
+    g = grid("healpix")
+    cells = spark.range(4 * 4**3, 16 * 4**3).select(g.parent_of(F.col("id"), 3, 0).alias("healpix_00"), F.col("id").alias("healpix_03"), F.when(F.col("id") < 300, 1.0).when(F.col("id") == 700, None).otherwise(2.0).alias("v"))
+    out = compaction.compact(cells, g, 3, 0, ("v",))
+    back = {}
+    for r in out.select("healpix_03", "v", g.text(F.col("healpix_03")).alias("t")).collect():
+        level = int(r.t.split("/")[0])
+        for k in range(4 ** (3 - level)):
+            back[(r.healpix_03 << 2 * (3 - level)) + k] = r.v
+    assert back == {r.healpix_03: r.v for r in cells.collect()} and out.count() < cells.count() / 4
+    scans = compaction.compact(cells, g, 3, 0, ("v",))._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    assert scans == 4
+
+
+def test_resolutions_fall_back_to_the_coarsest():
+    assert choose_resolution(grid("geohash"), 1e-9, 0.0, "smaller-than-pixel") == 1
+    assert choose_resolution(grid("geohash"), 1e20, 0.0, "larger-than-pixel") == 1
