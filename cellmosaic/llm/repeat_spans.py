@@ -277,6 +277,7 @@ def repeated_spans(rows: DataFrame, shared: common.Shared, *, length: int = LENG
     found = shared.put(rows.select("key", "rank", "text").mapInArrow(lambda it: _emit_runs(it, length), runs_schema))
     # Most seeds stand once; the others' runs are less than half of all.
     several = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    several = shared.put(several)  # so that both sides of the join are plain shuffles, of which Spark can split a hot seed
     live = shared.put(found.join(several, "seed", "left_semi"), free=True)
     shared.drop(found)
     settled, apart = _folded(live, shared, length, keep_first)

@@ -360,6 +360,7 @@ def similar_links(named: DataFrame, marked: DataFrame, shared: common.Shared, si
     every = marked.select(F.explode("marks").alias("mark"), F.col("text_key").alias("u"), "n", "common")
     # Most marks belong to one text; a grouped minimum, combined before its shuffle, leaves them out.
     several = every.groupBy("mark").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low < high").select("mark")
+    several = shared.put(several)  # so that both sides of the join are plain shuffles, of which Spark can split a hot mark
     entered = shared.put(every.join(several, "mark", "left_semi").distinct(), free=True)
     pairs = shared.put(grid_pairs(marked, shared))
     # Equal texts are one row.
