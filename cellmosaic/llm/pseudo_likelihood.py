@@ -4,8 +4,8 @@ Words, in lower case, are counted in a distributed table.  They are the leaves'
 content of a tree of two levels: words that are common enough have a leaf of
 their own, the others share leaves by their last two letters, and leaves have
 about equal mass.  The tree, the network and its buckets of context grow with
-the vocabulary.  A small network reads the two words on either side of a masked
-one and predicts its branch and then its leaf; inside its leaf a word has its
+the vocabulary.  A small network reads the words on either side of a masked one
+and predicts its branch and then its leaf; inside its leaf a word has its
 share of the leaf's counts.  All three factors sum to one.
 
 Texts are dealt into blocks.  The distinct words of a block come back to it with
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from cellmosaic.llm import common
 
-WIDTH, SIDE, ROUNDS = 12, 2, 2
+WIDTH, SIDE, ROUNDS = 12, 2, 1
 BATCH, RATE, SEED = 4096, 0.5, 7
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
@@ -121,50 +121,59 @@ class Network:
         cuts = np.cumsum([p.size for p in self.parts()])
         return Network(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(values, cuts[:-1]), self.parts())))
 
-    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = self.embed[context]
-        return seen, np.tanh(np.einsum("now,ow->nw", seen, self.mix))
+    def hidden(self, context: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        seen = [self.embed[context[:, o]] for o in range(len(self.mix))]
+        return seen, np.tanh(sum(x * m for x, m in zip(seen, self.mix)))
 
     def log_probabilities(self, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Of each leaf given its context."""
-        width, out = len(self.bias), np.zeros(len(leaf))
+        width, out = len(self.bias), np.zeros(len(leaf), dtype=np.float32)
         for i in range(0, len(leaf), BATCH):
-            _, h = self.hidden(context[i : i + BATCH])
-            branch, inner = np.divmod(leaf[i : i + BATCH], width)
-            total = _log_softmax(h @ self.out + self.bias)[np.arange(len(h)), branch]
-            for b, rows in _grouped(branch):
-                total[rows] += _log_softmax(h[rows] @ self.leaf_out[b] + self.leaf_bias[b])[np.arange(len(rows)), inner[rows]]
-            out[i : i + BATCH] = total
-        return out
+            order, groups = _by_branch(leaf[i : i + BATCH] // width)
+            inner = leaf[i : i + BATCH][order] % width
+            _, h = self.hidden(context[i : i + BATCH][order])
+            total = np.empty(len(order), dtype=np.float32)
+            branches = _log_softmax(h @ self.out + self.bias)
+            for b, low, high in groups:
+                leaves = _log_softmax(h[low:high] @ self.leaf_out[b] + self.leaf_bias[b])
+                total[low:high] = branches[low:high, b] + leaves[np.arange(high - low), inner[low:high]]
+            out[i + order] = total
+        return out.astype(np.float64)
 
     def train(self, context: np.ndarray, leaf: np.ndarray) -> None:
         """One step of gradient descent on the mean loss of a batch."""
         n, width = len(leaf), len(self.bias)
+        order, groups = _by_branch(leaf // width)
+        context, inner = context[order], leaf[order] % width
         seen, h = self.hidden(context)
-        branch, inner = np.divmod(leaf, width)
+        step = np.float32(RATE / n)
         grad = np.exp(_log_softmax(h @ self.out + self.bias))
-        grad[np.arange(n), branch] -= 1
-        grad *= RATE / n
+        for b, low, high in groups:
+            grad[low:high, b] -= 1
+        grad *= step
         back = grad @ self.out.T
         self.out -= h.T @ grad
         self.bias -= grad.sum(axis=0)
-        for b, rows in _grouped(branch):
-            part = np.exp(_log_softmax(h[rows] @ self.leaf_out[b] + self.leaf_bias[b]))
-            part[np.arange(len(rows)), inner[rows]] -= 1
-            part *= RATE / n
-            back[rows] += part @ self.leaf_out[b].T
+        for b, low, high in groups:
+            mine = h[low:high]
+            part = np.exp(_log_softmax(mine @ self.leaf_out[b] + self.leaf_bias[b]))
+            part[np.arange(high - low), inner[low:high]] -= 1
+            part *= step
+            back[low:high] += part @ self.leaf_out[b].T
             # A branch sees a share of the batch only.
-            self.leaf_out[b] -= (h[rows].T @ part) * np.float32(min(width, 8))
+            self.leaf_out[b] -= (mine.T @ part) * np.float32(min(width, 8))
             self.leaf_bias[b] -= part.sum(axis=0)
         back *= 1 - h * h
-        spread = back[:, None, :] * self.mix
-        self.mix -= np.einsum("nw,now->ow", back, seen)
         # Rows are rare: their step is not divided by the whole batch.
-        rows, steps = context.ravel(), spread.reshape(-1, WIDTH) * np.float32(16)
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
+        scaled = back * np.float32(16)
+        steps = np.concatenate([scaled * m for m in self.mix])
+        for o, m in enumerate(self.mix):
+            m -= np.einsum("nw,nw->w", back, seen[o])
+        rows = context.T.ravel()
+        by_row = np.argsort(rows.astype(np.uint16), kind="stable") if len(self.embed) <= 1 << 16 else np.argsort(rows, kind="stable")
+        rows = rows[by_row]
         heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        self.embed[rows[heads]] -= np.add.reduceat(steps[order], heads, axis=0)
+        self.embed[rows[heads]] -= np.add.reduceat(steps[by_row], heads, axis=0)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -172,11 +181,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _grouped(branch: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(branch, rows) of those that occur."""
-    order = np.argsort(branch, kind="stable")
-    ends = np.flatnonzero(np.diff(branch[order])) + 1
-    return [(int(branch[rows[0]]), rows) for rows in np.split(order, ends) if len(rows)]
+def _by_branch(branch: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by branch, and (branch, first, end) of those that occur."""
+    order = np.argsort(branch.astype(np.uint16), kind="stable")
+    there = branch[order]
+    ends = [0, *(np.flatnonzero(np.diff(there)) + 1).tolist(), len(there)]
+    return order, [(int(there[a]), a, b) for a, b in zip(ends, ends[1:]) if b > a]
 
 
 def contexts_of(bucket: np.ndarray, first: np.ndarray, beyond: int) -> np.ndarray:

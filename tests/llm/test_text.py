@@ -337,7 +337,7 @@ def test_likelihood_against_brute_force(spark, docs):
     for i in (3, 5, 10, 12, 17, 19):
         words, total = lower(TEXTS[i]), 0.0
         for k, w in enumerate(words):
-            near = [zlib.crc32(words[k + o].encode()) % model.buckets if 0 <= k + o < len(words) else model.buckets for o in (-2, -1, 1, 2)]
+            near = [zlib.crc32(words[k + o].encode()) % model.buckets if 0 <= k + o < len(words) else model.buckets for o in pseudo_likelihood._OFFSETS]
             h = np.tanh(sum(net.embed[b] * m for b, m in zip(near, net.mix)))
             branch, inner = divmod(leaf(w), tree.width)
             for x, j in ((h @ net.out + net.bias, branch), (h @ net.leaf_out[branch] + net.leaf_bias[branch], inner)):
