@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import aggregates
-from cellmosaic.operators.grids import S2, Grid, Lattice, parent
+from cellmosaic.operators.grids import S2, Grid, Lattice, RHealPix, parent
 from cellmosaic.sources.raster import apply_policy, mask_bands
 
 
@@ -21,6 +21,10 @@ def assign(pixels: DataFrame, grid: Grid, res: int, parent_res: int, lon: str |
         ix, iy = grid.indices(lon, lat, res)
         placed = pixels.select(ix.alias("_ix"), iy.alias("_iy"), *keep)
         cell = placed.select(grid.encode(F.col("_ix"), F.col("_iy"), res).alias(grid.index_column(res)), *keep)
+    elif isinstance(grid, RHealPix):
+        f, x, y = grid.indices(lon, lat, res)
+        placed = pixels.select(f.alias("_f"), x.alias("_x"), y.alias("_y"), *keep)
+        cell = placed.select(grid.encode(F.col("_f"), F.col("_x"), F.col("_y"), res).alias(grid.index_column(res)), *keep)
     elif isinstance(grid, S2):
         cell = grid.staged(pixels, lon, lat, res, grid.index_column(res), keep)
     else:

@@ -1,5 +1,6 @@
 """The raster engine against small brute-force results and against its SQL."""
 
+import math
 import struct
 
 import pytest
@@ -35,7 +36,7 @@ def test_centres_lie_in_their_cells(spark, name, res):
 
 
 def test_parents_hold_their_children(spark):
-    for name in ("s2", "healpix"):
+    for name in ("s2", "healpix", "rhp"):
         g = grid(name)
         at = spark.range(500).select((F.col("id") * 0.7 - 175).alias("lon"), (F.col("id") * 7919 % 179 - 89.0).alias("lat"))
         own = points.assign(at, g, 9, 4, keep=("lon", "lat"))
@@ -43,6 +44,38 @@ def test_parents_hold_their_children(spark):
         assert again.where(F.col("up") != F.col(g.index_column(4))).count() == 0 and again.count() == 500
 
 
+@pytest.mark.parametrize("name,res", [("s2", 5), ("healpix", 5), ("rhp", 3), ("s2", 0)])
+def test_faces_hold_their_centres_and_corners(spark, name, res):
+    g = grid(name)
+    every = g.cells_in_box(spark, res, -180.0, -90.0, 180.0, 90.0).cache()
+    assert every.count() == every.select("cell").distinct().count() == g.faces * g.base ** (2 * res)
+    x, y = g.center(F.col("cell"), res)
+    assert every.select(F.max(F.abs(y - F.col("lat"))), F.max(F.abs(F.sin(F.radians(x)) - F.sin(F.radians("lon"))))).where("greatest(*) < 1e-9").count() == 1
+    if res > 0:
+        again = points.assign(every, g, res, res - 1, keep=("cell",))
+        assert again.where(F.col("cell") != F.col(g.index_column(res))).count() == 0
+    # All cells within a box, and none else, without looking at the others.
+    for w, s, e, n in ((170.0, 60.0, 180.0, 88.0), (-20.0, -90.0, 31.0, -70.0)):
+        wanted = {r.cell for r in every.where(F.col("lon").between(w, e) & F.col("lat").between(s, n)).collect()}
+        assert {r.cell for r in g.cells_in_box(spark, res, w, s, e, n).collect()} == wanted
+    # A point between the centre and a corner is in the cell; areas add up to the globe.
+    if res > 0:
+        corner = every.where("abs(lat) < 60").select("cell", "lon", "lat", g.polygon(F.col("cell"), res).alias("p"), F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k")).cache()
+        between = corner.select("cell", (0.1 * F.col("lon") + 0.9 * F.get("p", F.col("k"))["lon"]).alias("lon"), (0.1 * F.col("lat") + 0.9 * F.get("p", F.col("k"))["lat"]).alias("lat")).cache()
+        missed = points.assign(between, g, res, res - 1, keep=("cell",)).where(F.col("cell") != F.col(g.index_column(res)))
+        assert missed.count() <= 0.02 * between.count()
+    total = 5.10065621724088e14 if name == "rhp" else 4 * math.pi * 6_371_000.0**2
+    assert abs(every.agg(F.sum(g.area(F.col("cell"), res))).first()[0] / total - 1) < 1e-9
+
+
+def test_known_rhealpix_cells(spark):
+    g = grid("rhp")
+    # Latitude 90 is the middle of the northern face; the poles and the equator are told apart; longitude -180 begins O.
+    rows = spark.createDataFrame([(0.0, 90.0), (0.0, -90.0), (-180.0, 0.0), (-90.0, 0.0), (0.0, 0.0), (174.0, -37.0), (-135.0, 45.0), (135.0, 80.0)], "lon double, lat double")
+    assert [r[0] for r in rows.select(g.assign(F.col("lon"), F.col("lat"), 1)).collect()] == ["N4", "S4", "O3", "P3", "Q3", "R8", "N7", "N4"]
+    assert abs(4 * math.pi * g._POLE - 5.10065621724088e14) < 1e3
+
+
 def test_mode_ties_and_nulls(spark):
     rows = spark.createDataFrame([("p", "a", 2.0), ("p", "a", 1.0), ("p", "b", None), ("p", "b", None), ("p", "b", 3.0), ("p", "c", None)], "parent string, cell string, v double")
     got = {r.cell: r.v for r in by_cell(rows, ["parent", "cell"], ("v",), ("mode",)).collect()}
