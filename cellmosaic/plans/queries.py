@@ -326,6 +326,44 @@ def cell_healpix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(parent(g, F.col("cell"), 4, 1).alias("parent"), "cell", "band_2").groupBy("parent", "cell").agg(F.sum("band_2").alias("total"))
 
 
+def _healpix_sql() -> str:
+    """Cells of resolution 4 (16 parts a side): face and place first, then their bits in turn."""
+    at = f"SELECT band_2, sin(radians(lat)) AS z, (CASE WHEN lon<0 THEN lon+360 ELSE lon END)/90 AS t FROM ({POINTS.format(**GLOBE)})"
+    lines = f"SELECT *, CAST(floor(16*(0.5::DOUBLE+t)-16*z*0.75::DOUBLE) AS BIGINT) AS hi, CAST(floor(16*(0.5::DOUBLE+t)+16*z*0.75::DOUBLE) AS BIGINT) AS lo, least(CAST(floor(t) AS BIGINT),3) AS quarter, 16*sqrt(3*(1-abs(z))) AS r FROM ({at})"
+    cap = f"SELECT *, abs(z)<=2.0::DOUBLE/3 AS belt, least(CAST(floor((t-quarter)*r) AS BIGINT),15) AS p, least(CAST(floor((1-(t-quarter))*r) AS BIGINT),15) AS q FROM ({lines})"
+    face = "CASE WHEN NOT belt THEN CASE WHEN z>=0 THEN quarter ELSE quarter+8 END WHEN hi//16=lo//16 THEN (hi//16)%4+4 WHEN hi//16<lo//16 THEN (hi//16)%4 ELSE (lo//16)%4+8 END"
+    x = "CASE WHEN belt THEN lo%16 WHEN z>=0 THEN 15-q ELSE p END"
+    y = "CASE WHEN belt THEN 15-hi%16 WHEN z>=0 THEN 15-p ELSE q END"
+    bits = "+".join(f"((x>>{k})&1)*{1 << 2 * k}+((y>>{k})&1)*{2 << 2 * k}" for k in range(4))
+    cells = f"SELECT (f+4)*256+{bits} AS cell, band_2 FROM (SELECT {face} AS f, {x} AS x, {y} AS y, band_2 FROM ({cap}))"
+    return f"SELECT cell>>6 AS parent, cell, sum(band_2) AS total FROM ({cells}) GROUP BY cell"
+
+
+def cell_rhp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(_events(spark, sf_dir, GLOBE), ("band_2",), "rhp", 3, 1).groupBy(*_KEYS).agg(F.sum("band_2").alias("total"))
+
+
+def _rhp_sql() -> str:
+    """Cells of resolution 3 (27 parts a side); caps are turned about their tip a quarter at a time."""
+    e2 = "0.0066943799901413165::DOUBLE"
+    zone = lambda v: f"({v}/(1-{e2}*{v}*{v})+atanh(sqrt({e2})*{v})/sqrt({e2}))"
+    at = f"SELECT band_2, {zone('sin(radians(lat))')}/{zone('1.0::DOUBLE')} AS s, (lon+180)/90 AS t FROM ({POINTS.format(**GLOBE)})"
+    cap = f"SELECT *, least(floor(t),3) AS k, sqrt(3*(1-abs(s))) AS r FROM ({at})"
+    turned = f"SELECT *, [(t-k-0.5::DOUBLE)*r, r/2, -(t-k-0.5::DOUBLE)*r, -r/2] AS side, abs(s)<=2.0::DOUBLE/3 AS belt FROM ({cap})"
+    # Up is one quarter behind sideways.
+    places = f"SELECT band_2, CASE WHEN belt THEN CAST(k+1 AS INT) WHEN s>0 THEN 0 ELSE 5 END AS f, CASE WHEN belt THEN t-k ELSE 0.5::DOUBLE+side[CAST(k+1 AS INT)] END AS u, CASE WHEN belt THEN 0.5::DOUBLE-0.75::DOUBLE*s ELSE 0.5::DOUBLE-sign(s)*side[CAST((k+3)%4+1 AS INT)] END AS v FROM ({turned})"
+    cells = f"SELECT band_2, f, least(CAST(floor(u*27) AS INT),26) AS x, least(CAST(floor(v*27) AS INT),26) AS y FROM ({places})"
+    digits = "||".join(f"CAST((y//{d})%3*3+(x//{d})%3 AS VARCHAR)" for d in (9, 3, 1))
+    return f"SELECT substr(cell,1,2) AS parent, cell, sum(band_2) AS total FROM (SELECT substr('NOPQRS',f+1,1)||{digits} AS cell, band_2 FROM ({cells})) GROUP BY 1,2"
+
+
+def cell_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distance in degrees of latitude of the points from the centre of their cell, by S2 face."""
+    g = grid("s2")
+    own = points.assign(_events(spark, sf_dir, GLOBE), g, 8, 0, keep=("lat",)).toDF("parent", "cell", "lat")
+    return own.select(g.text(F.col("parent")).alias("parent"), (F.col("lat") - g.center(F.col("cell"), 8)[1]).alias("d")).groupBy("parent").agg(F.count("d").alias("n"), F.bround(F.max(F.abs("d")), 6).alias("furthest"))
+
+
 def res_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     area, lat = pixel_area(RASTER)
     rows = [(m, name, choose_resolution(grid(name), area, lat, m)) for m in ("smaller-than-pixel", "larger-than-pixel", "min-diff") for name in ("geohash", "s2", "healpix")]
@@ -376,7 +414,9 @@ def _made() -> tuple[dict[str, Query], dict[str, str]]:
     add("compact_single_parent", compact_single_parent, _compact_sql())
     add("cell_enumerate_bbox", cell_enumerate, _enumerate_sql())
     add("cell_s2", cell_s2)
-    add("cell_healpix", cell_healpix)
+    add("cell_healpix", cell_healpix, _healpix_sql())
+    add("cell_rhp", cell_rhp, _rhp_sql())
+    add("cell_centres", cell_centres)
     add("res_choice", res_choice, _res_sql())
     return runs, {k: v for k, v in sql.items() if v}
 

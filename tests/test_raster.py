@@ -13,6 +13,7 @@ from cellmosaic.operators.grids import grid, parent
 from cellmosaic.operators import compaction, overlay, points, sampling
 from cellmosaic.plans import queries
 from cellmosaic.plans.config import IndexConfig, choose_resolution
+from cellmosaic.plans.run import main, plan
 from cellmosaic.sources.raster import Raster, select_bands
 from cellmosaic.sources.sinks import with_geometry, write_cells
 
@@ -120,7 +121,7 @@ def _same(a, b):
     return key(a) == key(b)
 
 
-@pytest.mark.parametrize("name", ["agg_mean", "agg_mode", "agg_multi", "point_maidenhead", "out_list", "out_hist_edges", "sample_bicubic", "sample_bilinear", "overlay_weighted", "overlay_fractions", "overlay_mass_preserve", "overlay_mode", "overlay_histogram", "overlay_vct", "compact_single_parent", "res_choice"])
+@pytest.mark.parametrize("name", ["agg_mean", "agg_mode", "agg_multi", "point_maidenhead", "out_list", "out_hist_edges", "sample_bicubic", "sample_bilinear", "overlay_weighted", "overlay_fractions", "overlay_mass_preserve", "overlay_mode", "overlay_histogram", "overlay_vct", "compact_single_parent", "res_choice", "cell_healpix", "cell_rhp"])
 def test_against_sql(spark, name):
     import duckdb
 
@@ -207,3 +208,40 @@ def test_compaction_expands_to_its_input(spark):
 def test_resolutions_fall_back_to_the_coarsest():
     assert choose_resolution(grid("geohash"), 1e-9, 0.0, "smaller-than-pixel") == 1
     assert choose_resolution(grid("geohash"), 1e20, 0.0, "larger-than-pixel") == 1
+
+
+AFFINE = ["--width", "10", "--height", "10", "--affine", "0.01", "0", "174", "0", "-0.01", "-41"]
+
+
+def test_runs_are_written(spark, tmp_path):
+    pixels, out = str(tmp_path / "pixels"), str(tmp_path / "out")
+    _ones(spark).withColumn("v", F.when((F.col("row") == 0) & (F.col("col") == 0), -9999.0).otherwise(F.col("v"))).write.parquet(pixels)
+    common = [*AFFINE, "--labels", "v", "k", "--raster-nodata", "-9999", "--overwrite"]
+    back = lambda: spark.read.option("mergeSchema", "false").parquet(out)
+
+    report = main(["geohash", "6", pixels, out, *common, "--agg", "count", "--agg", "sum", "-b", "v", "-d", "0"], spark)
+    assert (report["pixels_read"], report["rows_indexed"]) == (100, 99)
+    assert back().columns == ["geohash_06", "v", "geohash_02"] and back().select(F.sum("v.count"), F.sum("v.sum")).first() == (99, 99)
+    main(["s2", "14", pixels, out, *common, "--agg", "count", "--cell-id", "uint64", "--geo", "polygon", "-b", "2", "-d", "0"], spark)
+    row = back().first()
+    assert back().schema["s2_14"].dataType.simpleString() == "decimal(20,0)" and len(row["geometry"]) == 93 and back().agg(F.sum("k")).first()[0] == 100
+    main(["rhp", "8", pixels, out, *common, "--sample", "nn", "-b", "k", "--geo", "point"], spark)
+    assert back().count() > 0 and back().where("k <> 3.0").count() == 0
+    main(["maidenhead", "4", pixels, out, *common, "--overlay", "mass_preserve", "-b", "v", "-d", "none"], spark)
+    assert abs(back().agg(F.sum("v")).first()[0] - 99) < 1e-6
+    main(["geohash", "5", pixels, out, *common, "--overlay", "histogram", "-b", "k", "-d", "none", "--hist-weight", "area", "--hist-normalize", "cell"], spark)
+    assert back().where("k.area_share[0] > 1.001 OR k.area_share[0] <= 0").count() == 0
+    main(["healpix", "smaller-than-pixel", pixels, out, *common, "--point", "list", "-b", "k", "--compact"], spark)
+    assert back().agg(F.sum(F.size("k"))).first()[0] <= 100
+    main(["geohash", "5", pixels, out, *common, "--point", "histogram", "--hist-bins", "0,2,4"], spark)
+    assert back().agg(F.sum(F.col("k.counts")[0]), F.sum(F.col("v.counts")[0])).first() == (100, 99)
+
+
+def test_runs_that_cannot_be(spark, tmp_path):
+    for extra in (["--overlay", "mode", "--sample", "nn"], ["--overlay", "nothing"]):
+        with pytest.raises(SystemExit):
+            main(["geohash", "6", "x", "y", *AFFINE, *extra], spark)
+    with pytest.raises(ValueError):
+        plan(spark, IndexConfig("s2", 10, overlay="weighted"), _ones(spark), Raster(10, 10, (0.01, 0, 174, 0, -0.01, -41), ("v",)))
+    with pytest.raises(ValueError):
+        plan(spark, IndexConfig("s2", 10), _ones(spark), Raster(10, 10, (30.0, 0, 0, 0, -30.0, 0), ("v",), "EPSG:32633"))
