@@ -227,6 +227,19 @@ def _hits(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["score", "n"])
 
 
+def _best(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Texts with a passage, and the sum of n exp(-decay * best) of all texts of n words.
+
+    Their quotient is the likeliest constant K of the law exp(-K n exp(-decay * s)) of
+    best scores; a text without a passage says that its best is at most 0.
+    """
+    for part in common.slices(batches):
+        _, passages, w = _scored(part, model)
+        best = np.array([max((s for _, _, s in found), default=0.0) for found in passages])
+        mass = (np.diff(w.first) * np.exp(-model.decay * best)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([int((best > 0).sum())], pa.int64()), pa.array([float(mass)])], names=["found", "mass"])
+
+
 def _evidences(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for part in common.slices(batches):
         x, _, _ = _scored(part, model)
@@ -244,7 +257,10 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
         mid = (low + high) / 2
         mean = (weight * np.exp(mid * values)).sum() / weight.sum()
         low, high = (mid, high) if mean < 1 else (low, mid)
-    model.decay = max(low, 0.2)
+    model.decay = low
+    fit = rows.where("NOT toxic").select("text").mapInArrow(lambda it: _best(it, model), "found long, mass double").agg(F.sum("found").alias("found"), F.sum("mass").alias("mass")).first()
+    if fit.found and fit.mass:
+        model.constant = fit.found / fit.mass
     got = rows.mapInArrow(lambda it: _evidences(it, model), "toxic boolean, best double, all double").collect()  # three numbers a training row
     x = np.array([[r[1], r[2]] for r in got]).reshape(-1, 2)
     model.curve = _logistic(np.log1p(x), np.array([float(r[0]) for r in got]))
