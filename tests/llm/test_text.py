@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -397,3 +398,52 @@ def test_mixing_of_tied_sources(spark, sizes, want):
 def test_pages_go_on_after_dropped_elements(part, want):
     page = f"<article><h1>Title</h1><p>First words of it{part}</p><p>Second words stay.</p></article>"
     assert page_text.main_text(page, page_text.trained()) == f"Title\nFirst words of it{want.strip()}\nSecond words stay."
+
+
+def _used(node):
+    return set() if isinstance(node, bool) else {page_text.FEATURES[node.feature]} | _used(node.low) | _used(node.high)
+
+
+def test_page_tree_splits_by_neighbours_and_holds_on_other_pages():
+    tree = page_text.trained()
+    assert _used(tree) >= {"words_before", "links_before", "words_behind", "links_behind"}
+    right = total = 0
+    for page in page_text.labelled_pages(200, seed=99):
+        blocks = page_text.blocks_of(page)
+        got = page_text.keeps(tree, page_text.features(blocks))
+        right, total = right + sum(int(g == b.label) for g, b in zip(got, blocks)), total + len(blocks)
+    assert right / total > 0.97
+
+
+def test_pages_without_marks_give_the_same_text():
+    tree = page_text.trained()
+    body = "<h1>A title of five words</h1>" + "".join(f"<p>{'These words stand in it. ' * n}</p>" for n in (9, 1, 14))
+    page = "<{0}><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>Money</a></li></ul></{0}><div{3}>Buy nine lamps today.</div><{1}>%s</{1}><{2}>Printed by the owner of it.</{2}>" % body
+    want = "A title of five words\n" + "\n".join(" ".join(["These words stand in it."] * n) for n in (9, 1, 14))
+    assert page_text.main_text(page.format("nav", "article", "footer", " class=ad"), tree) == want
+    assert page_text.main_text(page.format("div", "div", "div", ""), tree) == want
+    assert page_text.main_text(f'<div class="tags-of-war">{body}</div>', tree) == want
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ", '<a ="', "<p><button></p>", "<svg>", "<head>", "<div>", "</div>", "<script>", "<!--", "<"])
+def test_broken_pages_take_linear_time(part):
+    start = time.monotonic()
+    page_text.main_text(part * (1_000_000 // len(part)), page_text.trained())
+    assert time.monotonic() - start < 10
+
+
+def test_unbalanced_quotes_and_late_ends():
+    tree = page_text.trained()
+    assert page_text.main_text('<article><p>Text <a title="x>y</a> end</p></article>', tree) == "Text y end"
+    assert page_text.main_text("<article><p>One<button>two</p><p>Three stays.</p></article>", tree) == "One\nThree stays."
+    assert page_text.main_text("<article><p>A</p></section></div><p>B</p></article>", tree) == "A\nB"
+
+
+def test_page_table(spark):
+    row = (1, "u", "<article><h1>T</h1><p>Some words of it.</p></article>", "x")
+    rows = [row, row, (2, None, None, None), (None, "v", "", "y"), (3, "w", "<article><p>" + "long " * 400_000 + "</p></article>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in page_text.extract(pages).collect()), key=str)
+    want = [(1, "u", "T\nSome words of it.", 19)] * 2 + [(2, None, "", 0), (None, "v", "", 0), (3, "w", ("long " * 400_000).strip(), 1_999_999)]
+    assert got == sorted(want, key=str)
+    assert page_text.extract(pages.limit(0)).count() == 0
