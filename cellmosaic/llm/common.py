@@ -7,6 +7,7 @@ slice is tokenised in numpy without one Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Gives free memory of the C library back; None where it has no such call.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Bytes of text that are handled at a time inside a Python worker.
 SLICE_BYTES = 1 << 20
 
@@ -135,7 +139,11 @@ def words_of(texts: pa.Array, encode: bool = True) -> Words:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each part has about ``limit`` bytes of text, or one text that is longer."""
+    """Cuts batches so that each part has about ``limit`` bytes of text, or one text that is longer.
+
+    Workers are used again by later stages; between batches and at the end they
+    give back to the system what they no longer need.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -147,6 +155,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        _give_back()
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
