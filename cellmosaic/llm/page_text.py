@@ -5,7 +5,7 @@ words, the share of its words inside links, both for the block before and the
 block behind it, its kind, and two weak marks: what element holds it, and how far
 the names of the elements around it are names of boilerplate or of content.  A
 decision tree keeps or drops each block; it is grown here from a labelled table,
-whose pages are written by a rule, most of them without any mark, so that words
+whose pages are written by a rule, half of them without any mark, so that words
 and links of the neighbours decide.  Kept blocks are joined in page order.
 
 Null and empty pages give empty texts, an empty table gives none.  Repeated rows
