@@ -12,8 +12,10 @@ Texts are dealt into blocks.  The distinct words of a block come back to it with
 their counts, so no task holds the vocabulary.  Every partition trains a copy of
 the network from the same start, on all its words, and the copies are averaged
 by their words; that is done ``ROUNDS`` times, each from the last average.  Sums
-are whole numbers, so their order does not matter.  The score of a text is the
-sum of the log-probabilities of all its words, each given both sides.
+are whole numbers, so their order does not matter.  A batch is made of windows
+of ``WINDOW`` places, in which each word is read once for itself and all its
+neighbours.  The score of a text is the sum of the log-probabilities of all its
+words, each given both sides.
 
 Approximate are the reading of the context (neighbours are hashed to buckets),
 the choice inside a leaf, which the context does not change, and the averaging
@@ -34,17 +36,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.llm import common
 
 WIDTH, SIDE, ROUNDS = 12, 2, 2
 BATCH, RATE, SEED = 4096, 0.5, 7
+#: Words that stand together in a batch, in training.
+WINDOW = 64
+#: Bytes of a word that is hashed by itself.
+LONG_WORD = 64
+#: Parameters of a row, when copies of the network are added.
+PIECE = 1024
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
 _FIXED = float(1 << 16)
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
+#: The table of ``zlib.crc32``, from its values of single bytes.
+_CRC = np.array([zlib.crc32(bytes([i ^ 255])) ^ 0xFF000000 for i in range(256)], dtype=np.uint32)
 
 
 def sizes_for(words: int) -> tuple[int, int]:
@@ -121,64 +131,97 @@ class Network:
         cuts = np.cumsum([p.size for p in self.parts()])
         return Network(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(values, cuts[:-1]), self.parts())))
 
-    def hidden(self, context: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        seen = [self.embed[context[:, o]] for o in range(len(self.mix))]
-        return seen, np.tanh(sum(x * m for x, m in zip(seen, self.mix)))
+    def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embeddings of rows of buckets, and what the places of each row get from both sides, flat for each row; there are ``SIDE`` buckets more at either end of a row."""
+        seen = self.embed.take(near, axis=0).reshape(len(near), -1)
+        span = near.shape[1] - 2 * SIDE
+        return seen, np.tanh(sum(seen[:, _shifted(o, span)] * np.tile(m, span) for o, m in zip(_OFFSETS, self.mix)))
 
-    def log_probabilities(self, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Of each leaf given its context."""
+    def log_probabilities(self, padded: np.ndarray, place: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of each leaf given its context; ``place`` is where its word stands in ``padded``."""
         width, out = len(self.bias), np.zeros(len(leaf), dtype=np.float32)
         for i in range(0, len(leaf), BATCH):
             order, groups = _by_branch(leaf[i : i + BATCH] // width)
-            inner = leaf[i : i + BATCH][order] % width
-            _, h = self.hidden(context[i : i + BATCH][order])
-            total = np.empty(len(order), dtype=np.float32)
-            branches = _log_softmax(h @ self.out + self.bias)
-            for b, low, high in groups:
-                leaves = _log_softmax(h[low:high] @ self.leaf_out[b] + self.leaf_bias[b])
-                total[low:high] = branches[low:high, b] + leaves[np.arange(high - low), inner[low:high]]
-            out[i + order] = total
+            inner, at = leaf[i : i + BATCH][order] % width, place[i : i + BATCH]
+            _, h = self.hidden(padded[None, at[0] - SIDE : at[-1] + SIDE + 1])
+            h = np.ascontiguousarray(h.reshape(-1, WIDTH).take(at[order] - at[0], axis=0).T)
+            branches = self.out.T @ h + self.bias[:, None]
+            chosen = np.concatenate([branches[b, low:high] for b, low, high in groups])
+            leaves = self.leaf_values(h, groups)
+            out[i + order] = chosen - _log_total(branches) + leaves[inner, np.arange(len(inner))] - _log_total(leaves)
         return out.astype(np.float64)
 
-    def train(self, context: np.ndarray, leaf: np.ndarray) -> None:
-        """One step of gradient descent on the mean loss of a batch."""
-        n, width = len(leaf), len(self.bias)
-        order, groups = _by_branch(leaf // width)
-        context, inner = context[order], leaf[order] % width
-        seen, h = self.hidden(context)
+    def leaf_values(self, h: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
+        """Of the leaves of each word's branch, one column a word."""
+        out = np.empty((len(self.bias), h.shape[1]), dtype=np.float32)
+        for b, low, high in groups:
+            np.add(self.leaf_out[b].T @ h[:, low:high], self.leaf_bias[b][:, None], out=out[:, low:high])
+        return out
+
+    def train(self, near: np.ndarray, leaf: np.ndarray) -> None:
+        """One step of gradient descent on the mean loss of the words of some windows.
+
+        A bucket is read once and its steps are added once, though it is in the
+        context of several words.
+        """
+        leaf, width = leaf.ravel(), len(self.bias)
+        words = np.flatnonzero(leaf >= 0)
+        order, groups = _by_branch(leaf[words] // width)
+        words, n = words[order], len(words)
+        seen, h = self.hidden(near)
+        h = np.ascontiguousarray(h.reshape(-1, WIDTH).take(words, axis=0).T)
         step = np.float32(RATE / n)
-        grad = np.exp(_log_softmax(h @ self.out + self.bias))
+        grad = _softmax(self.out.T @ h + self.bias[:, None])
         for b, low, high in groups:
-            grad[low:high, b] -= 1
+            grad[b, low:high] -= 1
         grad *= step
-        back = grad @ self.out.T
-        self.out -= h.T @ grad
-        self.bias -= grad.sum(axis=0)
+        back = self.out @ grad
+        self.out -= h @ grad.T
+        self.bias -= grad.sum(axis=1)
+        part = _softmax(self.leaf_values(h, groups))
+        part[leaf[words] % width, np.arange(n)] -= 1
+        part *= step
+        # A branch sees a share of the batch only.
+        share = np.float32(min(width, 8))
         for b, low, high in groups:
-            mine = h[low:high]
-            part = np.exp(_log_softmax(mine @ self.leaf_out[b] + self.leaf_bias[b]))
-            part[np.arange(high - low), inner[low:high]] -= 1
-            part *= step
-            back[low:high] += part @ self.leaf_out[b].T
-            # A branch sees a share of the batch only.
-            self.leaf_out[b] -= (mine.T @ part) * np.float32(min(width, 8))
-            self.leaf_bias[b] -= part.sum(axis=0)
+            mine = part[:, low:high]
+            back[:, low:high] += self.leaf_out[b] @ mine
+            self.leaf_out[b] -= (h[:, low:high] @ mine.T) * share
+        self.leaf_bias[[b for b, _, _ in groups]] -= np.add.reduceat(part, [low for _, low, _ in groups], axis=1).T
         back *= 1 - h * h
+        into = np.zeros((leaf.size, WIDTH), dtype=np.float32)
+        into[words] = back.T
+        into = into.reshape(len(near), -1)
         # Rows are rare: their step is not divided by the whole batch.
-        scaled = back * np.float32(16)
-        steps = np.concatenate([scaled * m for m in self.mix])
-        for o, m in enumerate(self.mix):
-            m -= np.einsum("nw,nw->w", back, seen[o])
-        rows = context.T.ravel()
+        scaled, steps, span = into * np.float32(16), np.zeros_like(seen), near.shape[1] - 2 * SIDE
+        for o, m in zip(_OFFSETS, self.mix):
+            there = _shifted(o, span)
+            steps[:, there] += scaled * np.tile(m, span)
+            m -= np.einsum("kx,kx->x", into, seen[:, there]).reshape(span, WIDTH).sum(axis=0)
+        rows = near.ravel()
         by_row = np.argsort(rows.astype(np.uint16), kind="stable") if len(self.embed) <= 1 << 16 else np.argsort(rows, kind="stable")
         rows = rows[by_row]
         heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        self.embed[rows[heads]] -= np.add.reduceat(steps[by_row], heads, axis=0)
+        self.embed[rows[heads]] -= np.add.reduceat(steps.reshape(-1, WIDTH).take(by_row, axis=0), heads, axis=0)
+
+
+def _shifted(offset: int, span: int) -> slice:
+    """The embeddings ``offset`` places from each of the ``span`` places of a flat row."""
+    return slice((SIDE + offset) * WIDTH, (SIDE + offset + span) * WIDTH)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each column, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
+
+
+def _log_total(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of the exponentials of each column."""
+    most = x.max(axis=0)
+    return most + np.log(np.exp(x - most).sum(axis=0))
 
 
 def _by_branch(branch: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -189,14 +232,43 @@ def _by_branch(branch: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int
     return order, [(int(there[a]), a, b) for a, b in zip(ends, ends[1:]) if b > a]
 
 
-def contexts_of(bucket: np.ndarray, first: np.ndarray, beyond: int) -> np.ndarray:
-    """The buckets around each word; outside a text there is ``beyond``."""
+def padded_words(bucket: np.ndarray, first: np.ndarray, beyond: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words with ``SIDE`` times ``beyond`` around each text, and the place of each word there."""
     sizes = np.diff(first)
     text = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(bucket)) + SIDE * (text + 1)
     padded = np.full(len(bucket) + SIDE * (len(sizes) + 1), beyond, dtype=np.int32)
     padded[place] = bucket
-    return np.stack([padded[place + o] for o in _OFFSETS], axis=1) if len(bucket) else np.zeros((0, len(_OFFSETS)), np.int32)
+    return padded, place
+
+
+def windows(padded: np.ndarray, place: np.ndarray, leaf: np.ndarray, beyond: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``WINDOW`` places that hold every word once: their buckets with ``SIDE`` more at either end, and their leaves, -1 where there is no word."""
+    n = max(0, -(-(len(padded) - 2 * SIDE) // WINDOW))
+    whole = np.full(n * WINDOW + 2 * SIDE, beyond, dtype=np.int32)
+    whole[: len(padded)] = padded[: len(whole)]
+    leaves = np.full(n * WINDOW, -1, dtype=np.int32)
+    leaves[place - SIDE] = leaf
+    leaves = leaves.reshape(n, WINDOW)
+    some = np.flatnonzero((leaves >= 0).any(axis=1))
+    return np.lib.stride_tricks.sliding_window_view(whole, WINDOW + 2 * SIDE)[::WINDOW][some], leaves[some]
+
+
+def crc32(words: pa.Array) -> np.ndarray:
+    """The CRC-32 of the bytes of each word, all words at a time."""
+    data, limits = common.text_bytes(words)
+    size, out = np.diff(limits), np.full(len(words), 0xFFFFFFFF, dtype=np.uint32)
+    left = np.flatnonzero(size <= LONG_WORD)
+    for i in range(LONG_WORD):
+        left = left[size[left] > i]
+        if not len(left):
+            break
+        now = out[left]
+        out[left] = _CRC[(now ^ data[limits[left] + i]) & 255] ^ (now >> 8)
+    out ^= np.uint32(0xFFFFFFFF)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = zlib.crc32(data[limits[i] : limits[i + 1]])
+    return out
 
 
 def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -207,13 +279,12 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return w.first, code, lower.dictionary
 
 
-def read(texts: pa.Array, tree: Tree, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(first, leaf, context, code, distinct) of the words of all texts."""
+def read(texts: pa.Array, tree: Tree, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(first, leaf, padded, place, code, distinct) of the words of all texts."""
     first, code, distinct = coded_words(texts)
-    crc = np.array([zlib.crc32(x.encode()) for x in distinct.to_pylist()], dtype=np.uint32)
-    bucket = (crc % np.uint32(buckets)).astype(np.int32)[code] if len(code) else np.zeros(0, np.int32)
+    bucket = (crc32(distinct) % np.uint32(buckets)).astype(np.int32)[code] if len(code) else np.zeros(0, np.int32)
     leaf = tree.of(distinct)[code] if len(code) else np.zeros(0, np.int32)
-    return first, leaf, contexts_of(bucket, first, buckets), code, distinct
+    return first, leaf, *padded_words(bucket, first, buckets), code, distinct
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,16 +320,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _train(batches: Iterator[pa.RecordBatch], network: Network, tree: Tree, buckets: int) -> Iterator[pa.RecordBatch]:
     network, words = network.filled(network.flat()), 0
     for part in common.slices(batches):
-        _, leaf, context, _, _ = read(part.column("text"), tree, buckets)
-        # Words of a batch come from all over the slice.
-        step = max(1, -(-len(leaf) // BATCH))
-        for i in range(step if len(leaf) else 0):
-            network.train(context[i::step], leaf[i::step])
+        _, leaf, padded, place, _, _ = read(part.column("text"), tree, buckets)
+        near, leaves = windows(padded, place, leaf, buckets)
+        # Windows of a batch come from all over the slice.
+        step = -(-len(leaf) // BATCH)
+        for i in range(step):
+            network.train(near[i::step], leaves[i::step])
         words += len(leaf)
     if words:
         flat = np.rint(network.flat().astype(np.float64) * _FIXED).astype(np.int64) * words
         values = np.concatenate([flat, [words]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["place", "value"])
+        starts = np.arange(0, len(values), PIECE)
+        yield pa.RecordBatch.from_arrays([pa.array(starts.astype(np.int32)), pa.array([values[i : i + PIECE].tobytes() for i in starts], pa.binary())], names=["start", "piece"])
+
+
+def _sum(pieces: pa.Table) -> pa.Table:
+    """The sum of the pieces of a start.  Halves of the numbers are added apart, so that no sum is too large."""
+    high = low = 0
+    for x in pieces.column("piece"):
+        values = np.frombuffer(x.as_buffer(), dtype=np.int64)
+        high, low = high + (values >> 32), low + (values & 0xFFFFFFFF)
+    total = high * float(1 << 32) + low
+    return pa.table({"start": pieces.column("start")[:1], "piece": pa.array([total.tobytes()], pa.binary())})
 
 
 @dataclass
@@ -277,9 +360,9 @@ def _dealt(docs: DataFrame, shared: common.Shared) -> tuple[DataFrame, DataFrame
     return dealt, shared.put(dealt.select("text", "block").mapInArrow(_count, "block long, word string, n long"))
 
 
-def _fit(dealt: DataFrame, counted: DataFrame, shared: common.Shared, rounds: int) -> Model | None:
-    """A model of all texts; the driver gets the words that have a leaf of their own, a row for each bucket of endings and one for each parameter."""
-    vocabulary = shared.put(counted.groupBy("word").agg(F.sum("n").alias("n")), free=True)
+def _fit(dealt: DataFrame, vocabulary: DataFrame, shared: common.Shared, rounds: int) -> Model | None:
+    """A model of all texts; the driver gets the words that have a leaf of their own, a row for each bucket of endings and the parameters."""
+    vocabulary = shared.put(vocabulary, free=True)
     size, total = vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not size:
         return None
@@ -291,10 +374,8 @@ def _fit(dealt: DataFrame, counted: DataFrame, shared: common.Shared, rounds: in
     tree = grow_tree(own, [(int(r[0]), r[1], r[2]) for r in endings], width, buckets)
     network = Network.start(tree.mass, width, buckets)
     for _ in range(rounds):
-        sums = dealt.select("text").mapInArrow(lambda it, now=network: _train(it, now, tree, buckets), "place int, value long").groupBy("place").agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("value"))
-        got = sums.toPandas()
-        values = np.zeros(len(got))
-        values[got["place"].to_numpy()] = got["value"].astype(float).to_numpy()
+        sums = dealt.select("text").mapInArrow(lambda it, now=network: _train(it, now, tree, buckets), "start int, piece binary").groupBy("start").applyInArrow(_sum, "start int, piece binary")
+        values = np.concatenate([np.frombuffer(r.piece) for r in sorted(sums.collect())])
         network = network.filled(values[:-1] / values[-1] / _FIXED)
     return Model(vocabulary, tree, buckets, network)
 
@@ -302,24 +383,26 @@ def _fit(dealt: DataFrame, counted: DataFrame, shared: common.Shared, rounds: in
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Model | None:
     """Trains on all of ``docs``; None if they have no words.  Without rounds the context changes nothing."""
     shared = common.Shared(docs.sparkSession, "likelihood")
-    return _fit(*_dealt(docs, shared), shared, rounds)
+    dealt, counted = _dealt(docs, shared)
+    return _fit(dealt, counted.groupBy("word").agg(F.sum("n").alias("n")), shared, rounds)
 
 
 def _score(docs: pa.Table, words: pa.Table, model: tuple[Tree, int, Network]) -> pa.Table:
     """Per text the log-probability of its words, from the counts of the block's words."""
     tree, buckets, network = model
     known, counts = words.column("word").combine_chunks().cast(pa.large_string()), np.append(words.column("n").to_numpy(), 1)
-    out = []
-    for part in common.slices(iter(docs.combine_chunks().to_batches())):
-        first, leaf, context, code, distinct = read(part.column("text"), tree, buckets)
-        n = np.diff(first)
-        total = np.zeros(len(n))
+    parts = [(part.column("doc_id"), *read(part.column("text"), tree, buckets)) for part in common.slices(iter(docs.combine_chunks().to_batches()))]
+    # One lookup for the block: its words are put into a table once.
+    rows = pc.fill_null(pc.index_in(pa.chunked_array([p[-1] for p in parts], pa.large_string()), value_set=known), len(known)).to_numpy()
+    out, at = [], 0
+    for ids, first, leaf, padded, place, code, distinct in parts:
+        n, total = np.diff(first), np.zeros(len(ids))
         if len(code):
-            row = pc.fill_null(pc.index_in(distinct, value_set=known), len(known)).to_numpy(zero_copy_only=False)
-            each = network.log_probabilities(context, leaf) + np.log(counts[row])[code] - np.log(tree.mass)[leaf]
+            of, at = np.log(counts[rows[at : at + len(distinct)]]), at + len(distinct)
+            each = network.log_probabilities(padded, place, leaf) + of[code] - np.log(tree.mass)[leaf]
             sums = np.concatenate([[0.0], np.cumsum(each)])
             total = sums[first[1:]] - sums[first[:-1]]
-        out.append(pa.table({"doc_id": part.column("doc_id"), "n_words": n.astype(np.int64), "log_probability": total, "per_word": np.where(n > 0, total / np.maximum(n, 1), 0.0)}))
+        out.append(pa.table({"doc_id": ids, "n_words": n.astype(np.int64), "log_probability": total, "per_word": np.where(n > 0, total / np.maximum(n, 1), 0.0)}))
     return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_probability": pa.array([], pa.float64()), "per_word": pa.array([], pa.float64())})
 
 
@@ -327,10 +410,18 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, n_words, log_probability, per_word) of every row of ``docs`` under a model, or one trained on all of them."""
     shared = common.Shared(docs.sparkSession, "likelihood")
     dealt, counted = _dealt(docs, shared)
-    model = model or _fit(dealt, counted, shared, ROUNDS)
+    if model:
+        back = shared.put(counted.select("block", "word").join(model.vocabulary, "word"), free=True)
+        shared.drop(counted)
+    else:
+        # The words are brought together once: each block's words get their sums, and the first of each word is the vocabulary's.
+        same = Window.partitionBy("word").orderBy("block")
+        everywhere = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        back = shared.put(counted.select("block", "word", F.sum("n").over(everywhere).alias("n"), (F.row_number().over(same) == 1).alias("leads")), free=True)
+        shared.drop(counted)
+        model = _fit(dealt, back.where("leads").select("word", "n"), shared, ROUNDS)
+        back = back.drop("leads")
     if model is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_probability"), F.lit(0.0).alias("per_word"))
-    back = shared.put(counted.select("block", "word").join(model.vocabulary, "word"), free=True)
-    shared.drop(counted)
     both, parts = dealt.groupBy("block").cogroup(back.groupBy("block")), (model.tree, model.buckets, model.network)
     return both.applyInArrow(lambda a, b: _score(a, b, parts), "doc_id long, n_words long, log_probability double, per_word double")
