@@ -37,6 +37,11 @@ def aggregate(name: str, band: Column) -> Column:
     return plain[name](band)
 
 
+def log2_product(band: Column) -> Column:
+    """The logarithm of the product's magnitude, summed, as the product of a large cell is too large for a double; null for no values, minus infinity with a zero."""
+    return F.sum(F.when(band == 0, float("-inf")).otherwise(F.log2(F.abs(band))))
+
+
 def by_cell(df: DataFrame, keys: list[str], bands: tuple[str, ...], names: tuple[str, ...], decimals: int | None = None) -> DataFrame:
     """One row a cell: for each band a column if one aggregate is asked for, else a struct of all.
 

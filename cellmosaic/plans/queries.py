@@ -134,8 +134,8 @@ def _agg(name: str) -> tuple[Query, str | None]:
 
 def agg_prod(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir, DEGREE).withColumn("band_2", F.col("band_2") % 2 + 1)
-    out = aggregates.by_cell(_cells(rows, ("band_2",), res=5, up=2), _KEYS, ("band_2",), ("prod",))
-    return out.select(*_KEYS, F.bround(F.log2("band_2"), 6).alias("log2_product"))
+    cells = _cells(rows, ("band_2",), res=5, up=2).dropna(subset=_KEYS)
+    return cells.groupBy(*_KEYS).agg(F.bround(aggregates.log2_product(F.col("band_2")), 6).alias("log2_product"))
 
 
 AGG_PROD = f"SELECT parent, cell, round_even(sum(ln(v)/ln(2)),6) AS log2_product FROM ({_assigned_sql(f'SELECT lon, lat, band_2%2+1 AS v FROM ({POINTS.format(**DEGREE)})', 'geohash', 5, 2, 'v')}) GROUP BY 1,2"

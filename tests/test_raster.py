@@ -85,6 +85,13 @@ def test_mode_ties_and_nulls(spark):
     assert sums["c"] == (0.0, 1.0, 0, None)
 
 
+def test_products_beyond_a_double(spark, tmp_path):
+    # 3,000 twos in one cell; their product is 2 to the power of 3,000.
+    made = spark.range(3000).select((F.col("id") * 10007 * 5003).alias("event_id"), F.lit(1).cast("long").alias("user_id"), F.lit(1.0).alias("value"))
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.log2_product for r in entry.queries()["agg_prod"](spark, str(tmp_path)).collect()] == [3000.0]
+
+
 def test_histogram_of_nothing_is_null(spark):
     rows = spark.createDataFrame([("a", None), ("b", 5.0), ("b", 7.0)], "cell string, v double")
     got = {r.cell: r.v for r in histogram(rows, ["cell"], "v", Bins(edges=(0.0, 5.0, 6.0))).collect()}
