@@ -77,7 +77,7 @@ class Tree:
         if not len(distinct):
             return np.zeros(0, dtype=np.int32)
         endings = pc.utf8_slice_codeunits(distinct, start=-2).dictionary_encode()
-        bucket = np.array([zlib.crc32(x.encode()) for x in endings.dictionary.to_pylist()], dtype=np.int64) % len(self.leaf)
+        bucket = crc32(endings.dictionary) % np.uint32(len(self.leaf))
         out = self.leaf[bucket][endings.indices.to_numpy(zero_copy_only=False)]
         if len(self.own):
             at = pc.fill_null(pc.index_in(distinct, value_set=self.own), -1).to_numpy(zero_copy_only=False)
@@ -131,26 +131,38 @@ class Network:
         cuts = np.cumsum([p.size for p in self.parts()])
         return Network(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(values, cuts[:-1]), self.parts())))
 
-    def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embeddings of rows of buckets, and what the places of each row get from both sides, flat for each row; there are ``SIDE`` buckets more at either end of a row."""
+    def hidden(self, near: np.ndarray, mixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embeddings of rows of buckets, and what the places of each row get from both sides, flat for each row; there are ``SIDE`` buckets more at either end of a row.  ``mixes`` is ``mix`` once for each place."""
         seen = self.embed.take(near, axis=0).reshape(len(near), -1)
         span = near.shape[1] - 2 * SIDE
-        return seen, np.tanh(sum(seen[:, _shifted(o, span)] * np.tile(m, span) for o, m in zip(_OFFSETS, self.mix)))
+        mixes = mixes[:, : span * WIDTH]
+        h = seen[:, _shifted(_OFFSETS[0], span)] * mixes[0]
+        one = np.empty_like(h)
+        for o, m in zip(_OFFSETS[1:], mixes[1:]):
+            h += np.multiply(seen[:, _shifted(o, span)], m, out=one)
+        return seen, np.tanh(h, out=h)
 
     def log_probabilities(self, padded: np.ndarray, place: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Of each leaf given its context; ``place`` is where its word stands in ``padded``."""
         width, out = len(self.bias), np.zeros(len(leaf), dtype=np.float32)
+        firsts, lasts = place[::BATCH], np.append(place[BATCH - 1 :: BATCH], place[-1:])
+        mixes = np.tile(self.mix, max((b - a + 1 for a, b in zip(firsts.tolist(), lasts.tolist())), default=0))
+        small, small_leaf = self.small()
         for i in range(0, len(leaf), BATCH):
             order, groups = _by_branch(leaf[i : i + BATCH] // width)
             inner, at = leaf[i : i + BATCH][order] % width, place[i : i + BATCH]
-            _, h = self.hidden(padded[None, at[0] - SIDE : at[-1] + SIDE + 1])
+            _, h = self.hidden(padded[None, at[0] - SIDE : at[-1] + SIDE + 1], mixes)
             h = np.ascontiguousarray(h.reshape(-1, WIDTH).take(at[order] - at[0], axis=0).T)
             branches = self.out.T @ h + self.bias[:, None]
             chosen = np.concatenate([branches[b, low:high] for b, low, high in groups])
             leaves = self.leaf_values(h, groups)
-            out[i + order] = chosen - _log_total(branches) + leaves[inner, np.arange(len(inner))] - _log_total(leaves)
+            out[i + order] = chosen - _log_total(branches, small) + leaves[inner, np.arange(len(inner))] - _log_total(leaves, small_leaf)
         return out.astype(np.float64)
 
+    def small(self) -> tuple[bool, bool]:
+        """Whether exponentials of the branches' and of the leaves' values, whatever the context, are far from the ends of a float."""
+        return tuple(bool((np.abs(w).sum(axis=-2) + np.abs(b)).max(initial=0) < 40) for w, b in ((self.out, self.bias), (self.leaf_out, self.leaf_bias)))
+
     def leaf_values(self, h: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
         """Of the leaves of each word's branch, one column a word."""
         out = np.empty((len(self.bias), h.shape[1]), dtype=np.float32)
@@ -168,19 +180,21 @@ class Network:
         words = np.flatnonzero(leaf >= 0)
         order, groups = _by_branch(leaf[words] // width)
         words, n = words[order], len(words)
-        seen, h = self.hidden(near)
+        mixes = np.tile(self.mix, near.shape[1] - 2 * SIDE)
+        small, small_leaf = self.small()
+        seen, h = self.hidden(near, mixes)
         h = np.ascontiguousarray(h.reshape(-1, WIDTH).take(words, axis=0).T)
         step = np.float32(RATE / n)
-        grad = _softmax(self.out.T @ h + self.bias[:, None])
+        grad = self.out.T @ h
+        grad += self.bias[:, None]
+        _softmax(grad, step, small)
         for b, low, high in groups:
-            grad[b, low:high] -= 1
-        grad *= step
+            grad[b, low:high] -= step
         back = self.out @ grad
         self.out -= h @ grad.T
         self.bias -= grad.sum(axis=1)
-        part = _softmax(self.leaf_values(h, groups))
-        part[leaf[words] % width, np.arange(n)] -= 1
-        part *= step
+        part = _softmax(self.leaf_values(h, groups), step, small_leaf)
+        part.reshape(-1)[leaf[words] % width * n + np.arange(n)] -= step
         # A branch sees a share of the batch only.
         share = np.float32(min(width, 8))
         for b, low, high in groups:
@@ -193,16 +207,19 @@ class Network:
         into[words] = back.T
         into = into.reshape(len(near), -1)
         # Rows are rare: their step is not divided by the whole batch.
-        scaled, steps, span = into * np.float32(16), np.zeros_like(seen), near.shape[1] - 2 * SIDE
-        for o, m in zip(_OFFSETS, self.mix):
+        mixes *= np.float32(16)
+        steps, one, span = np.zeros_like(seen), np.empty_like(into), near.shape[1] - 2 * SIDE
+        for o, m, wide in zip(_OFFSETS, self.mix, mixes):
             there = _shifted(o, span)
-            steps[:, there] += scaled * np.tile(m, span)
+            steps[:, there] += np.multiply(into, wide, out=one)
             m -= np.einsum("kx,kx->x", into, seen[:, there]).reshape(span, WIDTH).sum(axis=0)
         rows = near.ravel()
         by_row = np.argsort(rows.astype(np.uint16), kind="stable") if len(self.embed) <= 1 << 16 else np.argsort(rows, kind="stable")
         rows = rows[by_row]
         heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        self.embed[rows[heads]] -= np.add.reduceat(steps.reshape(-1, WIDTH).take(by_row, axis=0), heads, axis=0)
+        # Added in pairs of numbers, as complex ones.
+        sums = np.add.reduceat(steps.reshape(-1, WIDTH).take(by_row, axis=0).view(np.complex64), heads, axis=0).view(np.float32)
+        self.embed[rows[heads]] = self.embed.take(rows[heads], axis=0) - sums
 
 
 def _shifted(offset: int, span: int) -> slice:
@@ -210,18 +227,22 @@ def _shifted(offset: int, span: int) -> slice:
     return slice((SIDE + offset) * WIDTH, (SIDE + offset + span) * WIDTH)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of each column, in place."""
-    x -= x.max(axis=0)
+def _softmax(x: np.ndarray, total: np.float32, small: bool) -> np.ndarray:
+    """Of each column, in place, times ``total``; ``small`` values need no shift."""
+    if not small:
+        x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=0)
+    x *= total / x.sum(axis=0)
     return x
 
 
-def _log_total(x: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of the exponentials of each column."""
+def _log_total(x: np.ndarray, small: bool) -> np.ndarray:
+    """The logarithm of the sum of the exponentials of each column; ``small`` values need no shift."""
+    if small:
+        return np.log(np.exp(x).sum(axis=0))
     most = x.max(axis=0)
-    return most + np.log(np.exp(x - most).sum(axis=0))
+    each = x - most
+    return most + np.log(np.exp(each, out=each).sum(axis=0))
 
 
 def _by_branch(branch: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -273,10 +294,9 @@ def crc32(words: pa.Array) -> np.ndarray:
 
 def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(first, code, distinct) of the words of all texts; case does not count."""
-    w = common.words_of(texts)
-    lower = pc.ascii_lower(w.distinct.cast(pa.large_string())).dictionary_encode()
-    code = lower.indices.to_numpy(zero_copy_only=False)[w.code] if len(w.code) else np.zeros(0, dtype=np.int32)
-    return w.first, code, lower.dictionary
+    # Whole texts are folded, so that words are told apart once.
+    w = common.words_of(pc.ascii_lower(texts))
+    return w.first, w.code, w.distinct.cast(pa.large_string())
 
 
 def read(texts: pa.Array, tree: Tree, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
