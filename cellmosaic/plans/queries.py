@@ -267,7 +267,7 @@ def _overlaid(method: str, threshold: float = 0.0) -> tuple[Query, str | None]:
             each = out.select("cell", F.explode(F.arrays_zip(F.col(f"{band}.classes").alias("k"), F.col(f"{band}.fractions").alias("f"))).alias("e"))
             return each.select("cell", F.col("e.k").alias("class"), F.bround("e.f", 6).alias("fraction"))
         if method == "list":
-            return out.select("cell", F.size(band).alias("n"), F.bround(F.aggregate(band, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+            return out.where(F.col(band).isNotNull()).select("cell", F.size(band).alias("n"), F.bround(F.aggregate(band, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
         scale = F.lit(1e-6) if method == "density_preserve" else F.lit(1.0)
         return out.where(F.col(band).isNotNull()).select("cell", F.bround(F.col(band) * scale, 6).alias("value"))
 

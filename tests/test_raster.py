@@ -141,6 +141,20 @@ def test_against_sql(spark, name):
     assert _same([tuple(r) for r in made.select(*columns).collect()], wanted)
 
 
+@pytest.mark.parametrize("name", ["overlay_list", "overlay_weighted"])
+def test_cells_without_values_against_sql(spark, tmp_path, name):
+    import duckdb
+
+    # The first 40 of 60 rows have no data, so some cells have none.
+    made = spark.range(60).select(F.col("id").alias("vec_id"), F.array_repeat(F.when(F.col("id") >= 40, F.col("id").cast("float")), 64).alias("embedding"), F.lit(1).alias("label"))
+    made.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    made = entry.queries()[name](spark, str(tmp_path))
+    wanted = con.execute("SELECT " + ", ".join(f'"{c}"' for c in made.columns) + f" FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert len(wanted) > 0 and _same([tuple(r) for r in made.collect()], wanted)
+
+
 def test_rasters_are_as_high_as_their_table(spark, tmp_path):
     rows = 700
     made = spark.range(rows).select(F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast("float"), 64).alias("embedding"), F.lit(1).alias("label"))
